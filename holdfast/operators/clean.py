@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions.columns import is_finite, nan_to_null, parse_number
-from holdfast.operators.ranks import numeric_keys, select_ranks
+from holdfast.operators.ranks import numeric_key, select_ranks
 
 MIN_FEATURES = 2
 MIN_ROWS = 25
@@ -125,9 +125,8 @@ def cap_rows(df: DataFrame, max_rows: int, id_col: str = "sample_id") -> DataFra
     if max_rows <= 0:
         return df
     rows = df.select(F.lit(0).alias("_all"), F.col(id_col).alias("_id"))
-    at_cap = select_ranks(rows, ["_all"], ["_id"], numeric_keys("_id"),
-                          {"cap": lambda n: F.least(F.lit(max_rows), n)})
-    return df.where(F.col(id_col) <= at_cap.select("_id").scalar())
+    last = select_ranks(rows, ["_all"], ["_id"], numeric_key("_id"), {"cap": lambda n: F.least(F.lit(max_rows), n)})
+    return df.where(F.col(id_col) <= last[0].value[0]) if last else df
 
 
 def cleaning_report(before: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions.columns import as_column, clip, finite_or_null, floor_at_zero, is_finite
 from holdfast.operators.features import hydrogen_index
-from holdfast.operators.ranks import exact_quantiles
+from holdfast.operators.ranks import quantile_table
 
 # Fallbacks and limits of the four fits.
 CAP_MARGIN = 1.1
@@ -127,11 +127,11 @@ def fit_inverse_line(
 def fit_ratio_band(
     train: DataFrame, groups: Sequence[str], ratio: str, cfg: BandConstraint = BandConstraint()
 ) -> DataFrame:
-    """``hi_min, hi_max`` per run: quantiles of the ratio, exact by rank selection.
+    """``hi_min, hi_max`` per run: quantiles of the ratio, exact by rank selection (runs at once).
 
     Runs without a finite ratio, or with an empty band, get [0, 1e9].
     """
-    bands = exact_quantiles(train, groups, ratio, {"_lo": cfg.q_low, "_hi": cfg.q_high})
+    bands = quantile_table(train, groups, ratio, {"_lo": cfg.q_low, "_hi": cfg.q_high})
     open_band = F.col("_lo").isNull() | F.col("_hi").isNull() | (F.col("_hi") <= F.col("_lo"))
     return bands.select(
         *groups,

@@ -2,17 +2,22 @@
 
 ``percentile`` and ``row_number() over (partition by g)`` both bring a whole
 group to one task. Here a group is narrowed down instead. Each value has a
-coarse monotone key and finer keys below it. One pass counts rows per
+coarse monotone key and finer keys below it. A pass counts rows per
 (group, key); the counts show which key holds the wanted rank; the next pass
-looks only at rows with that key. Counts combine on the map side, so a shuffle
-carries at most (tasks x groups x keys) small rows however large the groups
-are. The last pass sorts the few distinct values left, which makes the result
-exact whatever the keys were.
+looks only at rows with that key, and so on until few rows are left. Those are
+sorted, which makes the result exact whatever the keys were. Counts combine on
+the map side, so a shuffle carries at most (tasks x groups x keys) small rows
+however large or skewed the groups are.
+
+Like ``DataFrame.approxQuantile`` this runs its jobs when called. What reaches
+the driver is one row per (group, rank).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,90 +26,105 @@ from pyspark.sql import functions as F
 from holdfast.functions.columns import as_column, is_finite
 
 RankRule = Callable[[Column], Column]
+KeyRule = Callable[[int], Column]
 
+FEW_ROWS = 100_000
+MAX_LEVELS = 5
 
-def numeric_keys(value: Column | str, levels: int = 2) -> list[Column]:
-    """Nested keys for a number: log-spaced cells 3 % wide, each level 65536 times finer.
 
-    Two levels tell values apart that differ by one part in two million. Ask for
-    a third only for columns whose values nearly all agree to more digits.
-    """
+@dataclass(frozen=True)
+class Ranked:
+    """The value found at a rank: ``n`` rows in the group, ``value`` per value column."""
+
+    group: tuple
+    tag: str
+    n: int
+    rank: int
+    value: tuple
+
+
+def numeric_key(value: Column | str) -> KeyRule:
+    """Log-spaced cells 3 % wide, 4096 times finer with each level."""
     v = as_column(value)
     scaled = F.signum(v) * F.log1p(F.abs(v) * F.lit(1048576.0)) * F.lit(32.0)
-    return [F.floor(scaled * F.lit(65536.0**i)) for i in range(levels)]
+    return lambda level: F.floor(scaled * F.lit(4096.0**level))
 
 
-def hex_keys(digest: Column | str, levels: int = 2) -> list[Column]:
-    """Nested prefixes of a fixed-width hex digest: 4096 cells per level."""
-    h = as_column(digest)
-    return [F.substring(h, 1, 3 * (i + 1)) for i in range(levels)]
+def hex_key(digest: Column | str) -> KeyRule:
+    """Prefixes of a fixed-width hex digest: 4096 cells, 4096 times finer with each level."""
+    return lambda level: F.substring(as_column(digest), 1, 3 * (level + 1))
 
 
 def select_ranks(
     df: DataFrame,
     groups: Sequence[str],
     value: Sequence[str],
-    keys: Sequence[Column],
+    key: KeyRule,
     ranks: dict[str, RankRule],
-) -> DataFrame:
+    few_rows: int = FEW_ROWS,
+) -> list[Ranked]:
     """The row at given 1-based ranks of ``value`` inside each group.
 
-    ``ranks`` maps a tag to a rule from the group's row count to a rank. The
-    result has one row per (group, tag): ``groups, tag, n, rank, *value``. Ranks
-    outside 1..n give no row. There are groups x tags bracket rows, so the
-    caller must keep groups to study keys (setting, seed, column name); they are
-    broadcast to the scans.
+    ``ranks`` maps a tag to a rule from the group's row count to a rank; ranks
+    outside 1..n give no entry. ``key(level)`` must not decrease as ``value``
+    grows, and level k+1 must refine level k. Groups are study keys (setting,
+    seed, column name), so brackets are few and can be broadcast.
     """
     groups, value = list(groups), list(value)
-    cells = [f"_cell{i}" for i in range(len(keys))]
-    rows = df.select(*groups, *value, *[k.alias(c) for k, c in zip(keys, cells)])
+    rows = df.select(*groups, *value)
     by_group = W.partitionBy(*groups)
-
-    counted = rows.groupBy(*groups, cells[0]).agg(F.count(F.lit(1)).alias("_rows"))
-    running = by_group.orderBy(cells[0]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = by_group.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     wanted = F.array(*[F.struct(F.lit(tag).alias("tag"), rule(F.col("n")).cast("bigint").alias("rank"))
                        for tag, rule in ranks.items()])
-    bracket = (
+    counted = rows.withColumn("_cell", key(0)).groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    held = (
         counted.withColumn("n", F.sum("_rows").over(by_group))
         .withColumn("_upto", F.sum("_rows").over(running))
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
-        .withColumn("_wanted", F.explode(wanted))
-        .select(*groups, "n", F.col("_wanted.tag").alias("tag"), F.col("_wanted.rank").alias("rank"),
-                cells[0], "_before", "_upto")
-        .where("rank > _before AND rank <= _upto")
-        .drop("_upto")
+        .select(*groups, "n", F.explode(wanted).alias("_w"), "_cell", "_rows", "_before")
+        .select(*groups, "n", "_w.tag", "_w.rank", "_cell", "_rows", "_before")
+        .where("rank > _before AND rank <= _before + _rows")
     )
-
-    by_tag = W.partitionBy(*groups, "tag")
-    for upper, lower in zip(cells, cells[1:]):
-        bracket = _narrow(rows, bracket, groups, upper, [lower], by_tag)
-    return _narrow(rows, bracket, groups, cells[-1], value, by_tag).drop("_before")
-
-
-def _narrow(rows, bracket, groups, upper, lower, by_tag):
-    """Replace the bracket's cell by the finer one (or value) holding the rank."""
+    found = held.collect()
+    level = 0
+    while found and max(r["_rows"] for r in found) > few_rows and level + 1 < MAX_LEVELS:
+        finer = rows.withColumn("_cell", key(level))
+        found = _narrow(finer, held, found, groups, {"_cell": key(level + 1)})
+        level += 1
+    if not found:
+        return []
+    last = _narrow(rows.withColumn("_cell", key(level)), held, found, groups, {v: F.col(v) for v in value})
+    return [Ranked(tuple(r[g] for g in groups), r["tag"], r["n"], r["rank"], tuple(r[v] for v in value)) for r in last]
+
+
+def _narrow(rows, like, found, groups, lower):
+    """Within each found cell, the finer cell (or value) that holds the rank."""
+    cells = rows.sparkSession.createDataFrame([tuple(r[c] for c in like.columns) for r in found], like.schema)
+    inside = rows.join(F.broadcast(cells.drop("_rows")), [*groups, "_cell"])
+    names = list(lower)
+    keep = [*groups, "n", "tag", "rank", "_before"]
     counted = (
-        rows.join(F.broadcast(bracket), [*groups, upper])
-        .groupBy(*groups, "tag", "n", "rank", "_before", *lower)
+        inside.select(*keep, *[c.alias(f"_to_{name}") for name, c in lower.items()])
+        .groupBy(*keep, *[f"_to_{name}" for name in names])
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
-    running = by_tag.orderBy(*lower).rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy(*groups, "tag").orderBy(*[f"_to_{name}" for name in names])
     return (
-        counted.withColumn("_upto", F.col("_before") + F.sum("_rows").over(running))
+        counted.withColumn("_upto", F.col("_before") + F.sum("_rows").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
         .where("rank > _before AND rank <= _upto")
-        .select(*groups, "n", "tag", "rank", *lower, "_before")
+        .select(*groups, "n", "tag", "rank", *[F.col(f"_to_{name}").alias(name) for name in names], "_rows", "_before")
+        .collect()
     )
 
 
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
-) -> DataFrame:
-    """Linearly interpolated quantiles of the finite values, one row per group.
+) -> dict[tuple, dict[str, Any]]:
+    """Linearly interpolated quantiles of the finite values per group.
 
-    Columns: ``groups, n`` and one column per name in ``probs``.
+    ``{group: {"n": rows, name: quantile, ...}}`` for groups with a finite value.
     """
-    groups = list(groups)
     rows = df.where(is_finite(value)).select(*groups, F.col(value).cast("double").alias("_v"))
 
     def position(p: float, n: Column) -> Column:
@@ -114,12 +134,26 @@ def exact_quantiles(
     for name, p in probs.items():
         ranks[f"{name}/lo"] = lambda n, p=p: F.floor(position(p, n)) + 1
         ranks[f"{name}/hi"] = lambda n, p=p: F.least(F.floor(position(p, n)) + 2, n)
-    picked = select_ranks(rows, groups, ["_v"], numeric_keys("_v"), ranks)
-
-    out = []
-    for name, p in probs.items():
-        lo = F.max(F.when(F.col("tag") == f"{name}/lo", F.col("_v")))
-        hi = F.max(F.when(F.col("tag") == f"{name}/hi", F.col("_v")))
-        at = position(p, F.max("n"))
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return picked.groupBy(*groups).agg(F.max("n").alias("n"), *out)
+    at: dict[tuple, dict[str, float]] = {}
+    sizes: dict[tuple, int] = {}
+    for r in select_ranks(rows, groups, ["_v"], numeric_key("_v"), ranks):
+        at.setdefault(r.group, {})[r.tag] = r.value[0]
+        sizes[r.group] = r.n
+    out = {}
+    for group, ends in at.items():
+        n = sizes[group]
+        out[group] = {"n": n}
+        for name, p in probs.items():
+            share = float(p) * (n - 1) % 1.0
+            lo, hi = ends[f"{name}/lo"], ends[f"{name}/hi"]
+            out[group][name] = lo + (hi - lo) * share
+    return out
+
+
+def quantile_table(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """``exact_quantiles`` as a small table: ``groups, n`` and a column per name."""
+    found = exact_quantiles(df, groups, value, probs)
+    types = dict(df.dtypes)
+    schema = ", ".join([*[f"`{g}` {types[g]}" for g in groups], "n bigint", *[f"`{p}` double" for p in probs]])
+    rows = [(*group, v["n"], *[v[p] for p in probs]) for group, v in found.items()]
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -3,24 +3,40 @@
 A row's place in the shuffle of seed ``s`` is its rank by
 ``md5('s:sample_id')``, ties by ``sample_id``. TEST is the first
 ``ceil(test_size * n)`` rows, VAL the next ones. Only the digest *at the cut*
-is looked up (``ranks.select_ranks``); after that a row's part is a comparison
-with its seed's cut, a narrow projection that depends on nothing but
-(seed, sample_id). Every setting that shares rows therefore shares splits, and
-repartitioning or losing an executor cannot change them.
+is looked up (``ranks.select_ranks``, reading just the id column). After that a
+row's part is a comparison with its seed's cut: the cuts of all seeds are one
+literal array that rows are exploded over, so a split costs no shuffle and no
+join. It depends on nothing but (seed, sample_id): settings that share rows
+share splits, and repartitioning or losing an executor cannot change them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.operators.ranks import hex_keys, select_ranks
+from holdfast.operators.ranks import hex_key, select_ranks
 
 TRAIN, VAL, TEST = "train", "val", "test"
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Rows of a run and the last TEST and VAL row (digest, id) of its shuffle."""
+
+    n: int
+    test: tuple[str, Any]
+    val: tuple[str, Any] | None = None
+
+
+# One cut per (subset, seed); the subset is None where all rows are split together.
+Cuts = Mapping[tuple[Any, int], Cut]
+
+
 def seed_schedule(n: int = 0, *, offset: int = 0, stop: int | None = None, step: int = 1) -> list[int]:
     """``n`` consecutive seeds from ``offset``, or ``range(offset, stop, step)``."""
     return list(range(offset, offset + n)) if stop is None else list(range(offset, stop, step))
@@ -42,6 +58,8 @@ def split_digest(seed: Column | int, sample_id: Column, digest: str = "md5") ->
     seed = F.lit(seed) if isinstance(seed, int) else seed
     if digest == "xxhash64":
         return F.lpad(F.hex(F.xxhash64(seed.cast("bigint"), sample_id)), 16, "0")
+    if digest != "md5":
+        raise ValueError(f"unknown digest: {digest}")
     return F.md5(F.concat_ws(":", seed.cast("string"), sample_id.cast("string")))
 
 
@@ -56,74 +74,110 @@ def held_out_rows(n: Column, test_size: float, val_size: float) -> Column:
     return n_test + F.ceil(share * (n - n_test))
 
 
-def split_cuts(
+def find_cuts(
     df: DataFrame,
     seeds: Sequence[int],
     test_size: float,
     val_size: float | None = None,
     *,
     id_col: str = "sample_id",
-    within: Sequence[str] = (),
+    within: str | None = None,
     digest: str = "md5",
-    levels: int = 2,
-) -> DataFrame:
-    """One row per (``within``, seed) with the last TEST (and VAL) digest and id.
-
-    Reads only the id column. ``levels`` is how often the candidates shrink by
-    4096 before the final sort; the cut is exact for any value.
-    """
-    within = list(within)
-    rows = fan_out(df.select(*within, F.col(id_col).alias("_id")), seeds)
+) -> dict[tuple[Any, int], Cut]:
+    """The cuts of every seed (and subset named by column ``within``). Runs at once."""
+    groups = [*([within] if within else []), "seed"]
+    rows = fan_out(df.select(*groups[:-1], F.col(id_col).alias("_id")), seeds)
     rows = rows.withColumn("_h", split_digest(F.col("seed"), F.col("_id"), digest))
     ranks = {TEST: lambda n: test_rows(n, test_size)}
     if val_size is not None:
         ranks[VAL] = lambda n: held_out_rows(n, test_size, val_size)
-    groups = [*within, "seed"]
-    picked = select_ranks(rows, groups, ["_h", "_id"], hex_keys("_h", levels), ranks)
-    cuts = [
-        F.max(F.when(F.col("tag") == tag, F.struct(F.col("_h").alias("h"), F.col("_id").alias("id")))).alias(f"{tag}_cut")
-        for tag in ranks
-    ]
-    return picked.groupBy(*groups).agg(F.max("n").alias("n"), *cuts)
+    found: dict[tuple[Any, int], dict] = {}
+    for r in select_ranks(rows, groups, ["_h", "_id"], hex_key("_h"), ranks):
+        key = r.group if within else (None, *r.group)
+        found.setdefault(key, {"n": r.n})[r.tag] = r.value
+    return {key: Cut(c["n"], c[TEST], c.get(VAL)) for key, c in sorted(found.items(), key=lambda kv: str(kv[0]))}
 
 
-def part_of(digest: Column, sample_id: Column, test_cut: Column, val_cut: Column | None = None) -> Column:
-    """TRAIN / VAL / TEST from a row's digest and its seed's cuts."""
+def _literal(value: Any) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(int(value)) + "L"
 
-    def upto(cut: Column) -> Column:
-        return (digest < cut["h"]) | ((digest == cut["h"]) & (sample_id <= cut["id"]))
 
-    part = F.when(upto(test_cut), F.lit(TEST))
-    if val_cut is not None:
-        part = part.when(upto(val_cut), F.lit(VAL))
+def _cut_array(cuts: Sequence[tuple[int, Cut]]) -> Column:
+    """``array<struct<seed, test_h, test_id[, val_h, val_id]>>`` of literals."""
+
+    def entry(seed: int, cut: Cut) -> str:
+        fields = [("seed", str(seed)), ("test_h", _literal(cut.test[0])), ("test_id", _literal(cut.test[1]))]
+        if cut.val is not None:
+            fields += [("val_h", _literal(cut.val[0])), ("val_id", _literal(cut.val[1]))]
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
+
+    return F.expr("array(" + ", ".join(entry(seed, cut) for seed, cut in cuts) + ")")
+
+
+def _part(digest: Column, sample_id: Column, test: tuple[Column, Column], val: tuple[Column, Column] | None) -> Column:
+    def upto(h: Column, last: Column) -> Column:
+        return (digest < h) | ((digest == h) & (sample_id <= last))
+
+    part = F.when(upto(*test), F.lit(TEST))
+    if val is not None:
+        part = part.when(upto(*val), F.lit(VAL))
     return part.otherwise(F.lit(TRAIN))
 
 
+def part_of(cut: Cut, seed: int, id_col: str = "sample_id", digest: str = "md5") -> Column:
+    """TRAIN / VAL / TEST of a row in one run, from literals."""
+
+    def lits(pair):
+        return F.lit(pair[0]), F.lit(pair[1])
+
+    return _part(split_digest(seed, F.col(id_col), digest), F.col(id_col), lits(cut.test), lits(cut.val) if cut.val else None)
+
+
 def assign_splits(
+    df: DataFrame,
+    cuts: Cuts,
+    *,
+    id_col: str = "sample_id",
+    within: str | None = None,
+    digest: str = "md5",
+) -> DataFrame:
+    """Rows x seeds with ``seed`` and ``split`` (narrow)."""
+    subsets: dict[Any, list[tuple[int, Cut]]] = {}
+    for (subset, seed), cut in cuts.items():
+        subsets.setdefault(subset, []).append((seed, cut))
+    if within is None:
+        arrays = _cut_array(subsets[None])
+    else:
+        arrays = None
+        for subset, listed in subsets.items():
+            hit = F.col(within) == F.lit(subset)
+            arrays = F.when(hit, _cut_array(listed)) if arrays is None else arrays.when(hit, _cut_array(listed))
+    with_val = any(cut.val is not None for cut in cuts.values())
+    rows = df.withColumn("_cut", F.explode(arrays)).withColumn("seed", F.col("_cut.seed"))
+    h = split_digest(F.col("seed"), F.col(id_col), digest)
+    val = (F.col("_cut.val_h"), F.col("_cut.val_id")) if with_val else None
+    return (
+        rows.withColumn("_h", h)
+        .withColumn("split", _part(F.col("_h"), F.col(id_col), (F.col("_cut.test_h"), F.col("_cut.test_id")), val))
+        .drop("_cut", "_h")
+    )
+
+
+def repeated_split(
     df: DataFrame,
     seeds: Sequence[int],
     test_size: float,
     val_size: float | None = None,
     *,
     id_col: str = "sample_id",
-    within: Sequence[str] = (),
+    within: str | None = None,
     digest: str = "md5",
-    levels: int = 2,
-    cuts: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows x seeds with a ``split`` column. ``within`` splits inside subsets (per setting)."""
-    within = list(within)
-    if cuts is None:
-        cuts = split_cuts(df, seeds, test_size, val_size, id_col=id_col, within=within,
-                          digest=digest, levels=levels)
-    cut_cols = ["test_cut"] + (["val_cut"] if val_size is not None else [])
-    rows = fan_out(df, seeds).withColumn("_h", split_digest(F.col("seed"), F.col(id_col), digest))
-    # one row per (within, seed): bounded by the study's own seed list
-    joined = rows.join(F.broadcast(cuts.select(*within, "seed", *cut_cols)), [*within, "seed"])
-    val_cut = F.col("val_cut") if val_size is not None else None
-    return joined.withColumn(
-        "split", part_of(F.col("_h"), F.col(id_col), F.col("test_cut"), val_cut)
-    ).drop("_h", *cut_cols)
+    """``find_cuts`` and ``assign_splits`` in one call."""
+    cuts = find_cuts(df, seeds, test_size, val_size, id_col=id_col, within=within, digest=digest)
+    return assign_splits(df, cuts, id_col=id_col, within=within, digest=digest)
 
 
 def bernoulli_split(

@@ -105,14 +105,18 @@ def first_min(value: str, key: Column, order: str = "seed") -> Column:
 
 
 def seed_picks(deltas: DataFrame) -> DataFrame:
-    """Best, worst and median seed by delta: rows ``tag, seed``."""
+    """Best, worst and median seed by delta: rows ``tag, seed``.
+
+    Keys are compared to 12 digits: sums over partitions differ in the last bits
+    from run to run, and with an even number of seeds two are equally central.
+    """
     # a few hundred seeds: the window holds the study's seed list
     with_median = deltas.withColumn("_median", F.percentile("delta_r2", F.lit(0.5)).over(W.partitionBy(F.lit(0))))
     d = F.col("delta_r2")
     wide = with_median.where(d.isNotNull()).agg(
-        first_min("seed", -d).alias("best"),
-        first_min("seed", d).alias("worst"),
-        first_min("seed", F.abs(d - F.col("_median"))).alias("median"),
+        first_min("seed", F.round(-d, 12)).alias("best"),
+        first_min("seed", F.round(d, 12)).alias("worst"),
+        first_min("seed", F.round(F.abs(d - F.col("_median")), 12)).alias("median"),
     )
     return wide.unpivot([], ["best", "worst", "median"], "tag", "seed")
 

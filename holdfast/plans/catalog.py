@@ -43,9 +43,10 @@ def query(sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, **digits: int) -> DataFrame:
+    """Doubles to six digits, or to the number given by column name."""
     doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
-    return df.select(*[F.round(c, digits).alias(c) if c in doubles else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, digits.get(c, 6)).alias(c) if c in doubles else F.col(c) for c in df.columns])
 
 
 # ------------------------------------------------------------------ SQL pieces
@@ -152,7 +153,7 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_way(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
-    return P.assign_splits(samples(spark, sf).select("sample_id", *cols), SEEDS, TEST_SIZE)
+    return P.repeated_split(samples(spark, sf).select("sample_id", *cols), SEEDS, TEST_SIZE)
 
 
 def train_of(rows: DataFrame) -> DataFrame:
@@ -322,7 +323,7 @@ def missing_encode(spark, sf):
  round(quantile_cont(v,CAST(0.99 AS DOUBLE)),6) AS q99 FROM l GROUP BY col""")
 def column_quantiles(spark, sf):
     long = samples(spark, sf).select("toc", "ac", "th").unpivot([], ["toc", "ac", "th"], "col", "v")
-    return rounded(Q.exact_quantiles(long, ["col"], "v", {"q01": 0.01, "q50": 0.5, "q99": 0.99}))
+    return rounded(Q.quantile_table(long, ["col"], "v", {"q01": 0.01, "q50": 0.5, "q99": 0.99}))
 
 
 # ---------------------------------------------------------------------- splits
@@ -335,7 +336,7 @@ def split2(spark, sf):
 
 @query(f"WITH {SPLIT3} SELECT sample_id, seed, split FROM split")
 def split3(spark, sf):
-    return P.assign_splits(samples(spark, sf).select("sample_id"), SEEDS, TEST_SIZE, VAL_SIZE)
+    return P.repeated_split(samples(spark, sf).select("sample_id"), SEEDS, TEST_SIZE, VAL_SIZE)
 
 
 _MASKED = """, masked AS (SELECT 'RockEval' AS setting, sample_id FROM dirty WHERE isfinite(toc) AND isfinite(s1) AND isfinite(s2)
@@ -345,8 +346,7 @@ _MASKED = """, masked AS (SELECT 'RockEval' AS setting, sample_id FROM dirty WHE
 @query(f"WITH {DIRTY} {_MASKED} {_RANKED.format(rows='masked', by='setting, seed')} {_TWO} SELECT setting, sample_id, seed, split FROM split")
 def split_within_setting(spark, sf):
     rows = C.rows_by_setting(dirty(spark, sf), "toc", {"RockEval": ["s1", "s2"], "Logs": ["gr", "rd"]})
-    return P.assign_splits(rows.select("setting", "sample_id"), SEEDS, TEST_SIZE, within=["setting"]).select(
-        "setting", "sample_id", "seed", "split")
+    return P.repeated_split(rows.select("setting", "sample_id"), SEEDS, TEST_SIZE, within="setting")
 
 
 @query(f"""WITH {SPLIT3} SELECT seed, count(CASE WHEN split='train' THEN 1 END) AS n_train, count(CASE WHEN split='val' THEN 1 END) AS n_val,
@@ -371,19 +371,21 @@ def seed_fan_out(spark, sf):
 
 
 @query(f"""WITH {SPLIT2} SELECT seed, round(greatest(regr_slope(toc,s2),0),6) AS a, round(regr_intercept(toc,s2),6) AS b,
- round(greatest(max(toc)*1.1,1),6) AS toc_max, CAST(0.15 AS DOUBLE) AS lambda_s2, count(*) AS n_pairs FROM split WHERE split='train' GROUP BY seed""")
+ round(greatest(max(toc)*1.1,1),8) AS toc_max, CAST(0.15 AS DOUBLE) AS lambda_s2, count(*) AS n_pairs FROM split WHERE split='train' GROUP BY seed""")
 def constraint_linear_fit(spark, sf):
     train = train_of(two_way(spark, sf, "toc", "s2"))
-    return rounded(K.fit_line_and_cap(train, ["seed"], "toc", "s2").drop("eps"))
+    return rounded(K.fit_line_and_cap(train, ["seed"], "toc", "s2").drop("eps"), toc_max=8)
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT CAST(floor(ac*10) AS BIGINT) AS cell, count(*) AS n, quantile_cont(toc,CAST(0.5 AS DOUBLE)) AS med,
  regr_slope(toc,s2) AS s, regr_intercept(toc,s2) AS i, max(toc) AS top FROM samples GROUP BY cell)
- SELECT cell, round(CASE WHEN n < 10 OR s < 0 THEN 0 ELSE s END,6) AS a, round(CASE WHEN n < 10 THEN med ELSE i END,6) AS b,
- round(greatest(top*1.1,1),6) AS toc_max, n AS n_pairs FROM g""")
+ SELECT cell, round(CASE WHEN n < 10 OR s < 0 THEN 0 ELSE s END,6) AS a, round(2*CASE WHEN n < 10 THEN med ELSE i END,6) AS b_twice,
+ round(greatest(top*1.1,1),8) AS toc_max, n AS n_pairs FROM g""")
 def constraint_small_groups(spark, sf):
     rows = samples(spark, sf).select(F.floor(F.col("ac") * 10).alias("cell"), "toc", "s2")
-    return rounded(K.fit_line_and_cap(rows, ["cell"], "toc", "s2").select("cell", "a", "b", "toc_max", "n_pairs"))
+    fits = K.fit_line_and_cap(rows, ["cell"], "toc", "s2")
+    # medians of two values end in a rounding tie; twice the value does not
+    return rounded(fits.select("cell", "a", (F.col("b") * 2).alias("b_twice"), "toc_max", "n_pairs"), toc_max=8)
 
 
 @query(f"""WITH {BAND} SELECT seed, round(a_s2,6) AS a_s2, round(b_s2,6) AS b_s2, round(hi_min,6) AS hi_min, round(hi_max,6) AS hi_max FROM fit""")
@@ -405,12 +407,12 @@ def refine_line_b(spark, sf):
 
 
 @query(f"""WITH {SPLIT2}, c AS (SELECT seed, greatest(max(toc)*1.1,1) AS c1, greatest(max(toc)*1.1,25) AS c25 FROM split WHERE split='train' GROUP BY seed)
- SELECT seed, round(CASE WHEN c1 < 5 THEN 15 ELSE c1 END,6) AS raise_small, round(c25,6) AS floor_25, round(c1,6) AS plain FROM c""")
+ SELECT seed, round(CASE WHEN c1 < 5 THEN 15 ELSE c1 END,8) AS raise_small, round(c25,8) AS floor_25, round(c1,8) AS plain FROM c""")
 def refine_cap(spark, sf):
     train = train_of(two_way(spark, sf, "toc"))
     caps = [K.fit_refine_cap(train, ["seed"], "toc", rule).withColumnRenamed("toc_max", rule)
             for rule in ("raise_small", "floor_25", "plain")]
-    return rounded(caps[0].join(caps[1], "seed").join(caps[2], "seed"))
+    return rounded(caps[0].join(caps[1], "seed").join(caps[2], "seed"), raise_small=8, floor_25=8, plain=8)
 
 
 @query(f"WITH {PRED} SELECT setting, seed, sample_id, round(least(greatest(p-2,0),toc_max),6) AS y FROM pred")
