@@ -76,44 +76,50 @@ def select_ranks(
     running = by_group.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
     wanted = F.array(*[F.struct(F.lit(tag).alias("tag"), rule(F.col("n")).cast("bigint").alias("rank"))
                        for tag, rule in ranks.items()])
-    counted = rows.withColumn("_cell", key(0)).groupBy(*groups, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    counted = rows.withColumn("_cell", key(0)).groupBy(*groups, "_cell").agg(*_cell_counts(value))
     held = (
         counted.withColumn("n", F.sum("_rows").over(by_group))
         .withColumn("_upto", F.sum("_rows").over(running))
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
-        .select(*groups, "n", F.explode(wanted).alias("_w"), "_cell", "_rows", "_before")
-        .select(*groups, "n", "_w.tag", "_w.rank", "_cell", "_rows", "_before")
+        .select(*groups, "n", F.explode(wanted).alias("_w"), "_cell", "_rows", "_many", "_before")
+        .select(*groups, "n", "_w.tag", "_w.rank", "_cell", "_rows", "_many", "_before")
         .where("rank > _before AND rank <= _before + _rows")
     )
     found = held.collect()
     level = 0
-    while found and max(r["_rows"] for r in found) > few_rows and level + 1 < MAX_LEVELS:
+    while level + 1 < MAX_LEVELS and any(r["_many"] and r["_rows"] > few_rows for r in found):
         finer = rows.withColumn("_cell", key(level))
-        found = _narrow(finer, held, found, groups, {"_cell": key(level + 1)})
+        found = _narrow(finer, held, found, groups, value, {"_cell": key(level + 1)})
         level += 1
     if not found:
         return []
-    last = _narrow(rows.withColumn("_cell", key(level)), held, found, groups, {v: F.col(v) for v in value})
+    last = _narrow(rows.withColumn("_cell", key(level)), held, found, groups, value, {v: F.col(v) for v in value})
     return [Ranked(tuple(r[g] for g in groups), r["tag"], r["n"], r["rank"], tuple(r[v] for v in value)) for r in last]
 
 
-def _narrow(rows, like, found, groups, lower):
+def _cell_counts(value: Sequence[str]) -> list[Column]:
+    """Rows of a cell and whether it may hold several values: one hot value needs no finer cells."""
+    many = F.min(value[0]) != F.max(value[0]) if len(value) == 1 else F.lit(True)
+    return [F.count(F.lit(1)).alias("_rows"), many.alias("_many")]
+
+
+def _narrow(rows, like, found, groups, value, lower):
     """Within each found cell, the finer cell (or value) that holds the rank."""
     cells = rows.sparkSession.createDataFrame([tuple(r[c] for c in like.columns) for r in found], like.schema)
-    inside = rows.join(F.broadcast(cells.drop("_rows")), [*groups, "_cell"])
+    inside = rows.join(F.broadcast(cells.drop("_rows", "_many")), [*groups, "_cell"])
     names = list(lower)
     keep = [*groups, "n", "tag", "rank", "_before"]
     counted = (
-        inside.select(*keep, *[c.alias(f"_to_{name}") for name, c in lower.items()])
+        inside.select(*keep, *value, *[c.alias(f"_to_{name}") for name, c in lower.items()])
         .groupBy(*keep, *[f"_to_{name}" for name in names])
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .agg(*_cell_counts(value))
     )
     order = W.partitionBy(*groups, "tag").orderBy(*[f"_to_{name}" for name in names])
     return (
         counted.withColumn("_upto", F.col("_before") + F.sum("_rows").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .withColumn("_before", F.col("_upto") - F.col("_rows"))
         .where("rank > _before AND rank <= _upto")
-        .select(*groups, "n", "tag", "rank", *[F.col(f"_to_{name}").alias(name) for name in names], "_rows", "_before")
+        .select(*groups, "n", "tag", "rank", *[F.col(f"_to_{name}").alias(name) for name in names], "_rows", "_many", "_before")
         .collect()
     )
 

@@ -8,10 +8,12 @@ for the trees. Values are rounded once, at the end.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdfast.config import log_pyrolysis, multi_basin, pyrolysis_hi
 from holdfast.functions import columns as X
 from holdfast.operators import clean as C
 from holdfast.operators import constraints as K
@@ -19,9 +21,15 @@ from holdfast.operators import features as D
 from holdfast.operators import metrics as A
 from holdfast.operators import models as M
 from holdfast.operators import ranks as Q
+from holdfast.operators import refine as N
 from holdfast.operators import roles as R
 from holdfast.operators import splits as P
 from holdfast.operators import summary as S
+from holdfast.plans.prepare import prepare_log_pyrolysis, prepare_multi_basin, prepare_pyrolysis_hi, standard_names
+from holdfast.plans.study import run_ablation
+from holdfast.session import land, scratch_path
+from holdfast.sources import sinks as W
+from holdfast.sources.readers import read_predictions
 from holdfast.sources.samples import LOG_ROLES, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -576,3 +584,171 @@ def accept_gate(spark, sf):
     rows = line_predictions(spark, sf)
     kept = A.accept_if_better(rows, A.metrics(rows), refined_mode="full", refined="y_full", out="y_kept")
     return rounded(kept.select("setting", "seed", "sample_id", "y_kept", "refined_accepted"))
+
+
+# ------------------------------------------------------------- stored outputs
+
+
+@query(f"WITH {PRED} SELECT setting, seed, sample_id, y_true, round(y_base,6) AS y_base, round(y_full,6) AS y_full FROM pred WHERE seed IN (2, 5)")
+def reread_predictions(spark, sf):
+    """Written partitioned by (setting, seed), read back by partition."""
+    path = scratch_path(spark, "predictions")
+    rows = line_predictions(spark, sf).withColumn("refined_accepted", F.lit(False))
+    W.write_predictions(rows.select("sample_id", "y_true", "y_base", "y_full", "refined_accepted", "setting", "seed"), path)
+    return rounded(read_predictions(spark, path, seeds=[2, 5]).drop("refined_accepted"))
+
+
+@query(f"""WITH {DIRTY}, c AS (SELECT sample_id, toc, s1, CASE WHEN rd > -1 THEN ln(1+rd) END AS a, ln(1+rs) AS b FROM dirty WHERE toc IS NOT NULL AND s1 IS NOT NULL)
+ SELECT sample_id, toc, s1, round(a,6) AS "log_RD", round(b,6) AS "log_RS", round(a-b,6) AS "dlogR", round(a+b,6) AS "sumlogR" FROM c""")
+def clean_table_landed(spark, sf):
+    """Cleaned and derived columns, landed as Parquet and scanned back."""
+    df = C.drop_missing(dirty(spark, sf).select("sample_id", "toc", "s1", "rd", "rs"), ["toc", "s1"])
+    df = D.add_log_features(df, "rd", "rs").drop("rd", "rs")
+    return rounded(land(df, scratch_path(spark, "clean")))
+
+
+@query(f"""WITH {METRICS} SELECT setting, seed, round(max(CASE WHEN mode='base' THEN r2 END),6) AS r2_base, round(max(CASE WHEN mode='full' THEN rmse END),6) AS rmse_full,
+ count(*) AS modes FROM met GROUP BY setting, seed""")
+def run_log(spark, sf):
+    """Nested run log rows (metrics by mode), read out of their structs."""
+    m = run_metrics(spark, sf)
+    sizes = m.groupBy("setting", "seed").agg(F.count(F.lit(1)).alias("modes"))
+    info = {s: {"features": [x], "model_cfg": {"kind": "line"}} for s, x in (("NoRes", "depth"), ("Full", "ac"))}
+    log = W.run_log(m, sizes, info)
+    return rounded(log.select("setting", "seed", F.col("metrics.base.r2_test").alias("r2_base"),
+                              F.col("metrics.full.rmse_test").alias("rmse_full"), "modes"))
+
+
+@query(f"""WITH {METRICS} {_PICKS} SELECT len(list(seed)) AS seeds, round(sum(delta_r2),6) AS delta_sum,
+ (SELECT seed FROM picks WHERE tag='best') AS best_seed, (SELECT seed FROM picks WHERE tag='worst') AS worst_seed,
+ (SELECT seed FROM picks WHERE tag='median') AS median_seed FROM delta_s""")
+def plot_bundle(spark, sf):
+    """The per-seed arrays of a study in one row."""
+    deltas = S.delta_between_settings(run_metrics(spark, sf).where(F.col("mode") == "full"))
+    bundle = W.plot_bundle(deltas, S.seed_picks(deltas), key="samples", label="samples", source=sf)
+    return rounded(bundle.select(
+        F.size("seeds").cast("bigint").alias("seeds"),
+        F.aggregate("delta_r2", F.lit(0.0), lambda a, b: a + b).alias("delta_sum"), "best_seed", "worst_seed", "median_seed"))
+
+
+# ------------------------------------------------- trees and networks, no SQL
+
+
+SMALL = M.Booster(max_depth=4, max_iter=8, max_bins=64)
+LOG_FEATURES = ["ac", "gr", "k", "th", "u", "rd", "rs"]
+PYROLYSIS = ["s1", "s2", "s3", "tmax"]
+
+
+def held_out_by(spark, sf, booster: M.Booster, features, table: DataFrame | None = None, seed: int = 0):
+    """Fit on one seed's TRAIN rows; TEST rows with the prediction, and the run."""
+    df = (samples(spark, sf) if table is None else table).select("sample_id", "toc", *features)
+    cuts = P.find_cuts(df, [seed], TEST_SIZE)
+    rows = P.assign_splits(df, cuts)
+    model = M.fit_booster(train_of(rows), features, "toc", booster, seed)
+    run = M.Run("study", seed, tuple(features), booster, model)
+    scored, (pred,) = M.score_runs(test_of(rows), [run])
+    return scored.select("seed", "sample_id", F.col("toc").alias("y_true"), F.col(pred).alias("y_pred")), run
+
+
+@query()
+def gbt_log(spark, sf):
+    """Log-target trees on the well-log features: metrics on TEST."""
+    rows, _ = held_out_by(spark, sf, SMALL, LOG_FEATURES)
+    return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
+
+
+@query()
+def gbt_raw(spark, sf):
+    """Raw-target trees: TEST predictions."""
+    rows, _ = held_out_by(spark, sf, replace(SMALL, log_target=False), PYROLYSIS)
+    return rows
+
+
+@query()
+def gbt_earlystop(spark, sf):
+    """Trees with missing values and a patience rule: metrics on TEST."""
+    booster = replace(SMALL, missing="encode", stopping="patience", patience=3, validation_fraction=0.15)
+    table = C.keep_finite(dirty(spark, sf), ["toc"])
+    rows, _ = held_out_by(spark, sf, booster, PYROLYSIS, table)
+    return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
+
+
+@query()
+def gbt_subsampled(spark, sf):
+    """Row and column subsampling: TEST predictions."""
+    booster = replace(SMALL, step_size=0.3, min_rows=1, subsample=0.8, feature_share="0.8")
+    rows, _ = held_out_by(spark, sf, booster, LOG_FEATURES)
+    return rows
+
+
+@query()
+def gbt_importance(spark, sf):
+    """Feature importance of a fitted run, largest first."""
+    _, run = held_out_by(spark, sf, SMALL, LOG_FEATURES)
+    return M.feature_importance(spark, [run])
+
+
+def network_rows(spark, sf):
+    """TRAIN and TEST rows of three seeds for the network, base prediction from a line."""
+    table = samples(spark, sf).select("sample_id", "toc", "s2", "s1", "depth")
+    rows = P.repeated_split(table, P.seed_schedule(3), TEST_SIZE)
+    lines = M.fit_line_baseline(train_of(rows), ["seed"], "toc", "depth")
+    terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"])
+             for r in K.fit_refine_line(train_of(rows), ["seed"], "toc", "s2")
+             .join(K.fit_refine_cap(train_of(rows), ["seed"], "toc", "plain"), "seed").collect()}
+    long = K.attach_fit(rows, lines, ["seed"]).select(
+        "sample_id", "split", "seed", F.array(F.col("s2") / 10, F.col("s1") / 10).alias("x"), F.col("toc").alias("y"), "s2",
+        F.array("seed").alias("runs"), F.array(X.floor_at_zero(M.line_prediction("depth"))).alias("y_bases"))
+    return long, terms
+
+
+def trained_networks(spark, sf):
+    long, terms = network_rows(spark, sf)
+    weights, history = N.train_networks(train_of(long), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=6))
+    return long, weights, history
+
+
+@query()
+def refine_predict(spark, sf):
+    """Networks of three seeds trained together: TEST predictions."""
+    long, weights, _ = trained_networks(spark, sf)
+    done = N.predict_networks(test_of(long), weights)
+    return done.select("seed", "sample_id", F.col("y").alias("y_true"), F.col("y_bases")[0].alias("y_base"),
+                       F.col("y_refineds")[0].alias("y_refined"))
+
+
+@query()
+def monotone_violation(spark, sf):
+    """How far each network breaks the rising relation to its features."""
+    long, weights, _ = trained_networks(spark, sf)
+    return N.monotone_violation(test_of(long), weights, [(0, 1), (1, 1)])
+
+
+@query()
+def study_multi_basin(spark, sf):
+    """A whole study: Full against NoRes, network gated on VAL."""
+    p = prepare_multi_basin(samples(spark, sf).select("sample_id", *LOG_FEATURES, "toc"))
+    cfg = multi_basin(p.settings, n_repeats=2, target=p.target, use_external_booster=False, booster=replace(SMALL, max_iter=3))
+    return run_ablation(p.table, cfg.but(refine=replace(cfg.refine, epochs=3))).summary
+
+
+@query()
+def study_log_pyrolysis(spark, sf):
+    """A whole study: soft line and cap on the RockEval setting."""
+    raw = samples(spark, sf).select("sample_id", F.col("toc").alias("TOC"), *[F.col(c).alias(c.capitalize()) for c in PYROLYSIS])
+    p = prepare_log_pyrolysis(raw)
+    cfg = log_pyrolysis(p.settings, n_repeats=2, target=p.target, s2_col=p.roles["S2"],
+                        booster=replace(SMALL, max_iter=3, missing="encode"))
+    return run_ablation(p.table, cfg).summary
+
+
+@query()
+def study_pyrolysis_hi(spark, sf):
+    """A whole study: ratio band and inverse line, best setting per seed."""
+    raw = samples(spark, sf).select(
+        "sample_id", F.col("toc").alias("TOC (wt%)"), F.col("s2").alias("S2 (mg HC/g)"), F.col("s1").alias("S1"),
+        F.col("tmax").alias("Tmax"), F.col("depth").alias("Depth"), D.hydrogen_index("s2", "toc").alias("HI"))
+    p = standard_names(prepare_pyrolysis_hi(raw))
+    cfg = pyrolysis_hi(p.settings, seeds_step=20, seeds_max=40, target=p.target, s2_col=p.roles["S2"], hi_col=p.roles["HI"],
+                       booster=replace(SMALL, max_iter=3, log_target=False), use_refinement=False)
+    return run_ablation(p.table, cfg).best_of_best
