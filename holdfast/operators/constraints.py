@@ -1,7 +1,8 @@
 """Domain constraints: fitted on TRAIN rows, applied to predictions.
 
-A fit is one hash aggregation over (setting, seed): TRAIN rows combine on the
-map side and one small row per run comes out. Applying a fit is a broadcast
+A fit is a set of aggregates over (setting, seed); all fits of a study share one
+hash aggregation: TRAIN rows combine on the map side and one small row per run
+comes out. Applying a fit is a broadcast
 join of those rows and column arithmetic.
 
 The least-squares line of a constant x has no slope; the minimum-norm solution
@@ -10,7 +11,7 @@ The least-squares line of a constant x has no slope; the minimum-norm solution
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,7 @@ from holdfast.operators.ranks import quantile_table
 CAP_MARGIN = 1.1
 CAP_FLOOR = 1.0
 CAP_WITHOUT_ROWS = 30.0
+FEW_PAIRS = 10
 HI_MIN_FALLBACK = 0.0
 HI_MAX_FALLBACK = 1e9
 MODES = ("base", "nn", "s2", "full")
@@ -47,80 +49,141 @@ class BandConstraint:
     q_high: float = 0.99
 
 
+@dataclass(frozen=True)
+class Fit:
+    """Aggregates over TRAIN rows and the parameters computed from them.
+
+    Several fits can share one aggregation (``fit_together``). ``few`` marks a
+    value whose median is wanted in runs with fewer than ten of them.
+    """
+
+    aggs: Sequence[Column]
+    params: Mapping[str, Column]
+    few: Column | None = None
+
+
+def fit_together(train: DataFrame, groups: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
+    """All fits' parameters per run from one pass over the TRAIN rows.
+
+    Medians of tiny runs take a second look, limited to those runs: their keys
+    (at most one per run of the study) are broadcast, and where there are none
+    the adaptive planner drops that branch.
+    """
+    groups = list(groups)
+    stats = train.groupBy(*groups).agg(*[a for fit in fits for a in fit.aggs])
+    few = next((fit.few for fit in fits if fit.few is not None), None)
+    if few is not None:
+        tiny = stats.where((F.col("cap_n") > 0) & (F.col("cap_n") < FEW_PAIRS)).select(*groups)
+        values = train.select(*groups, few.alias("_few")).where("_few IS NOT NULL")
+        medians = values.join(F.broadcast(tiny), groups).groupBy(*groups).agg(F.percentile("_few", F.lit(0.5)).alias("cap_median"))
+        stats = stats.join(F.broadcast(medians), groups, "left")
+    return stats.select(*groups, *[c.alias(name) for fit in fits for name, c in fit.params.items()])
+
+
 def _line_aggs(name: str, y: Column, x: Column, use: Column) -> list[Column]:
     y, x = F.when(use, y), F.when(use, x)
     return [
         F.count(y).alias(f"{name}_n"),
         F.regr_slope(y, x).alias(f"{name}_slope"),
-        F.regr_intercept(y, x).alias(f"{name}_intercept"),
-        F.avg(y).alias(f"{name}_mean"),
+        F.avg(y).alias(f"{name}_y"),
+        F.avg(x).alias(f"{name}_x"),
         F.min(x).alias(f"{name}_x_min"),
         F.max(x).alias(f"{name}_x_max"),
     ]
 
 
 def _line(name: str) -> tuple[Column, Column]:
-    c, mean = F.col(f"{name}_x_min"), F.col(f"{name}_mean")
+    c, mean = F.col(f"{name}_x_min"), F.col(f"{name}_y")
     constant = c == F.col(f"{name}_x_max")
     norm = c * c + F.lit(1.0)
-    a = F.when(constant, mean * c / norm).otherwise(F.col(f"{name}_slope"))
-    b = F.when(constant, mean / norm).otherwise(F.col(f"{name}_intercept"))
+    slope = F.col(f"{name}_slope")
+    a = F.when(constant, mean * c / norm).otherwise(slope)
+    b = F.when(constant, mean / norm).otherwise(mean - slope * F.col(f"{name}_x"))
     return a, b
 
 
-def _small_median(y: Column) -> Column:
-    """Exact median of at most nine values, in bounded memory for any number.
-
-    The percentile sketch is exact while it holds every value. Up to nine values
-    the 0.5 and 0.55 positions are the lower and the upper middle value.
-    """
-    low = F.percentile_approx(y, F.lit(0.5), F.lit(100))
-    high = F.percentile_approx(y, F.lit(0.55), F.lit(100))
-    return (low + high) / F.lit(2.0)
-
-
-def fit_line_and_cap(
-    train: DataFrame,
-    groups: Sequence[str],
-    y: str,
-    s2: str,
-    cfg: LineConstraint = LineConstraint(),
-) -> DataFrame:
-    """``a, b, toc_max, lambda_s2, eps`` per run from pairs with both values finite.
+def line_and_cap(y: str, s2: str, cfg: LineConstraint = LineConstraint()) -> Fit:
+    """``a, b, toc_max, lambda_s2, eps`` from pairs with both values finite.
 
     Fewer than ten pairs: a = 0 and b = median(y) (0 without pairs). A negative
     slope becomes 0 and b stays as fitted.
     """
     both = is_finite(y) & is_finite(s2)
     yy = F.when(both, F.col(y))
-    stats = train.groupBy(*groups).agg(
-        *_line_aggs("line", F.col(y), F.col(s2), both), _small_median(yy).alias("_median"), F.max(yy).alias("_y_max")
+    a, b = _line("cap")
+    few = F.col("cap_n") < FEW_PAIRS
+    cap = F.coalesce(F.col("cap_top") * CAP_MARGIN, F.lit(CAP_WITHOUT_ROWS))
+    return Fit(
+        [*_line_aggs("cap", F.col(y), F.col(s2), both), F.max(yy).alias("cap_top")],
+        {
+            "a": F.when(few | a.isNull() | F.isnan(a) | (a < 0), F.lit(0.0)).otherwise(a),
+            "b": F.when(few, F.coalesce(F.col("cap_median"), F.lit(0.0))).otherwise(b),
+            "toc_max": F.greatest(cap, F.lit(CAP_FLOOR)),
+            "lambda_s2": F.lit(cfg.lambda_s2),
+            "eps": F.lit(cfg.eps),
+            "n_pairs": F.col("cap_n"),
+        },
+        few=yy,
     )
-    a, b = _line("line")
-    few = F.col("line_n") < 10
-    return stats.select(
-        *groups,
-        F.when(few | a.isNull() | F.isnan(a) | (a < 0), F.lit(0.0)).otherwise(a).alias("a"),
-        F.when(few, F.coalesce(F.col("_median"), F.lit(0.0))).otherwise(b).alias("b"),
-        F.greatest(F.coalesce(F.col("_y_max") * CAP_MARGIN, F.lit(CAP_WITHOUT_ROWS)), F.lit(CAP_FLOOR)).alias("toc_max"),
-        F.lit(cfg.lambda_s2).alias("lambda_s2"),
-        F.lit(cfg.eps).alias("eps"),
-        F.col("line_n").alias("n_pairs"),
+
+
+def inverse_line(y: str, s2: str) -> Fit:
+    """``S2 = a_s2*y + b_s2``; (1, 0) below five pairs, 1 / 0 where not finite."""
+    a, b = _line("inv")
+    few = F.col("inv_n") < 5
+    return Fit(
+        _line_aggs("inv", F.col(s2), F.col(y), is_finite(y) & is_finite(s2)),
+        {
+            "a_s2": F.when(few, F.lit(1.0)).otherwise(F.coalesce(finite_or_null(a), F.lit(1.0))),
+            "b_s2": F.when(few, F.lit(0.0)).otherwise(F.coalesce(finite_or_null(b), F.lit(0.0))),
+        },
     )
 
 
-def fit_inverse_line(
-    train: DataFrame, groups: Sequence[str], y: str, s2: str
-) -> DataFrame:
-    """``S2 = a*y + b`` per run; (1, 0) below five pairs, 1 / 0 where not finite."""
-    both = is_finite(y) & is_finite(s2)
-    stats = train.groupBy(*groups).agg(*_line_aggs("line", F.col(s2), F.col(y), both))
-    a, b = _line("line")
-    few = F.col("line_n") < 5
-    return stats.select(
-        *groups,
-        F.when(few, F.lit(1.0)).otherwise(F.coalesce(finite_or_null(a), F.lit(1.0))).alias("a_s2"),
-        F.when(few, F.lit(0.0)).otherwise(F.coalesce(finite_or_null(b), F.lit(0.0))).alias("b_s2"),
+def refine_line(y: str, s2: str) -> Fit:
+    """Line ``y = a_lin*S2 + b_lin`` for the network's loss; (0.1, 0) when unusable."""
+    a, b = _line("ref")
+    bad = (F.col("ref_n") < FEW_PAIRS) | ~is_finite(a) | (a < 0)
+    return Fit(
+        _line_aggs("ref", F.col(y), F.col(s2), is_finite(y) & is_finite(s2)),
+        {"a_lin": F.when(bad, F.lit(0.1)).otherwise(a), "b_lin": F.when(bad, F.lit(0.0)).otherwise(b)},
+    )
+
+
+def refine_inverse_line(y: str, s2: str) -> Fit:
+    """Line ``S2 = a_lin*y + b_lin`` from rows with y > 1e-6; (1, 0) when unusable."""
+    a, b = _line("rin")
+    bad = (F.col("rin_n") < FEW_PAIRS) | ~is_finite(a) | (a < 1e-6)
+    return Fit(
+        _line_aggs("rin", F.col(s2), F.col(y), is_finite(y) & is_finite(s2) & (F.col(y) > 1e-6)),
+        {"a_lin": F.when(bad, F.lit(1.0)).otherwise(a), "b_lin": F.when(bad, F.lit(0.0)).otherwise(b)},
+    )
+
+
+def refine_cap(y: str, rule: str = "raise_small", name: str = "toc_max") -> Fit:
+    """Upper end of the range loss.
+
+    ``raise_small``: max(1.1 max y, 1), 15 if that is below 5. ``floor_25``:
+    max(1.1 max y, 25). ``plain``: max(1.1 max y, 1), the line constraint's cap.
+    """
+    top = F.col("range_top") * CAP_MARGIN
+    at_least_one = F.greatest(top, F.lit(CAP_FLOOR))
+    rules = {
+        "raise_small": F.when(at_least_one < 5.0, F.lit(15.0)).otherwise(at_least_one),
+        "floor_25": F.greatest(top, F.lit(25.0)),
+        "plain": at_least_one,
+    }
+    if rule not in rules:
+        raise ValueError(f"unknown cap rule: {rule}")
+    return Fit([F.max(y).alias("range_top")], {name: rules[rule]})
+
+
+def baseline(y: str, x: str, name: str = "line") -> Fit:
+    """Closed-form predictor ``y = a*x + b``, for checks without trees."""
+    slope = F.regr_slope(F.col(y), F.col(x))
+    return Fit(
+        [slope.alias(f"{name}_slope"), F.regr_intercept(F.col(y), F.col(x)).alias(f"{name}_intercept")],
+        {f"{name}_a": F.col(f"{name}_slope"), f"{name}_b": F.col(f"{name}_intercept")},
     )
 
 
@@ -147,72 +210,26 @@ def fit_band_and_line(
     s2: str,
     ratio: str | None = None,
     cfg: BandConstraint = BandConstraint(),
+    also: Sequence[Fit] = (),
 ) -> DataFrame:
-    """Inverse line and ratio band per run; the ratio is 100*S2/y if no column is given."""
+    """Inverse line and ratio band per run; the ratio is 100*S2/y if no column is given.
+
+    ``also`` are fits to take from the same pass as the line.
+    """
     groups = list(groups)
-    rows = train.select(*groups, y, s2, *([ratio] if ratio else []))
-    if ratio is None:
-        ratio = "_ratio"
-        rows = rows.withColumn(ratio, hydrogen_index(s2, y))
-    line = fit_inverse_line(rows, groups, y, s2)
-    band = fit_ratio_band(rows, groups, ratio, cfg)
+    line = fit_together(train, groups, [inverse_line(y, s2), *also])
+    rows = train.select(*groups, (F.col(ratio) if ratio else hydrogen_index(s2, y)).alias("_ratio"))
+    band = fit_ratio_band(rows, groups, "_ratio", cfg)
     # both sides have one row per run
-    return line.join(F.broadcast(band), groups, "left").select(
-        *groups,
-        "a_s2",
-        "b_s2",
-        F.coalesce("hi_min", F.lit(HI_MIN_FALLBACK)).alias("hi_min"),
-        F.coalesce("hi_max", F.lit(HI_MAX_FALLBACK)).alias("hi_max"),
-        F.lit(cfg.eps).alias("eps"),
-        F.lit(cfg.lambda_s2).alias("lambda_s2"),
+    return (
+        line.join(F.broadcast(band), groups, "left")
+        .withColumn("hi_min", F.coalesce("hi_min", F.lit(HI_MIN_FALLBACK)))
+        .withColumn("hi_max", F.coalesce("hi_max", F.lit(HI_MAX_FALLBACK)))
+        .withColumn("eps", F.lit(cfg.eps))
+        .withColumn("lambda_s2", F.lit(cfg.lambda_s2))
     )
 
 
-def fit_refine_line(train: DataFrame, groups: Sequence[str], y: str, s2: str) -> DataFrame:
-    """Line ``y = a*S2 + b`` for the network's loss; (0.1, 0) when unusable."""
-    both = is_finite(y) & is_finite(s2)
-    stats = train.groupBy(*groups).agg(*_line_aggs("line", F.col(y), F.col(s2), both))
-    a, b = _line("line")
-    bad = (F.col("line_n") < 10) | ~is_finite(a) | (a < 0)
-    return stats.select(
-        *groups,
-        F.when(bad, F.lit(0.1)).otherwise(a).alias("a_lin"),
-        F.when(bad, F.lit(0.0)).otherwise(b).alias("b_lin"),
-    )
-
-
-def fit_refine_inverse_line(train: DataFrame, groups: Sequence[str], y: str, s2: str) -> DataFrame:
-    """Line ``S2 = a*y + b`` for the network's loss from rows with y > 1e-6; (1, 0) when unusable."""
-    both = is_finite(y) & is_finite(s2) & (F.col(y) > 1e-6)
-    stats = train.groupBy(*groups).agg(*_line_aggs("line", F.col(s2), F.col(y), both))
-    a, b = _line("line")
-    bad = (F.col("line_n") < 10) | ~is_finite(a) | (a < 1e-6)
-    return stats.select(
-        *groups,
-        F.when(bad, F.lit(1.0)).otherwise(a).alias("a_lin"),
-        F.when(bad, F.lit(0.0)).otherwise(b).alias("b_lin"),
-    )
-
-
-def fit_refine_cap(train: DataFrame, groups: Sequence[str], y: str, rule: str = "raise_small") -> DataFrame:
-    """Upper end of the range loss per run.
-
-    ``raise_small``: max(1.1 max y, 1), 15 if that is below 5. ``floor_25``:
-    max(1.1 max y, 25). ``plain``: max(1.1 max y, 1), the line constraint's cap.
-    """
-    cap = F.max(y) * CAP_MARGIN
-    at_least_one = F.greatest(cap, F.lit(CAP_FLOOR))
-    if rule == "raise_small":
-        cap = F.when(at_least_one < 5.0, F.lit(15.0)).otherwise(at_least_one)
-    elif rule == "floor_25":
-        cap = F.greatest(cap, F.lit(25.0))
-    elif rule == "plain":
-        cap = at_least_one
-    else:
-        raise ValueError(f"unknown cap rule: {rule}")
-    return train.groupBy(*groups).agg(cap.alias("toc_max"))
-
-
 def attach_fit(rows: DataFrame, fits: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Each row with its run's fit. ``fits`` has one row per (setting, seed) of the study."""
     return rows.join(F.broadcast(fits), list(groups))

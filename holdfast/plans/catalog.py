@@ -176,12 +176,9 @@ def line_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """TEST rows of two settings with raw and constrained predictions."""
     rows = two_way(spark, sf, "toc", "s2", "depth", "ac")
     train = train_of(rows)
-    fits = K.fit_line_and_cap(train, ["seed"], "toc", "s2")
-    lines = train.groupBy("seed").agg(
-        *[f(F.col("toc"), F.col(x)).alias(f"{x}_{n}") for x in ("depth", "ac")
-          for n, f in (("a", F.regr_slope), ("b", F.regr_intercept))]
-    )
-    test = K.attach_fit(K.attach_fit(test_of(rows), lines, ["seed"]), fits, ["seed"])
+    fits = K.fit_together(train, ["seed"], [
+        K.line_and_cap("toc", "s2"), K.baseline("toc", "depth", "depth"), K.baseline("toc", "ac", "ac")])
+    test = K.attach_fit(test_of(rows), fits, ["seed"])
     both = F.array(*[
         F.struct(F.lit(s).alias("setting"), (F.col(f"{x}_a") * F.col(x) + F.col(f"{x}_b")).alias("p"))
         for s, x in (("NoRes", "depth"), ("Full", "ac"))
@@ -198,9 +195,9 @@ def band_rows(spark: SparkSession, sf: str) -> DataFrame:
     """TEST rows with the band fit and a raw prediction; S2 missing on some rows."""
     rows = two_way(spark, sf, "toc", "s2", "depth")
     train = train_of(rows)
-    test = K.attach_fit(test_of(rows), K.fit_band_and_line(train, ["seed"], "toc", "s2"), ["seed"])
-    test = K.attach_fit(test, M.fit_line_baseline(train, ["seed"], "toc", "depth"), ["seed"])
-    return test.withColumn("s2", F.when(F.col("sample_id") % 17 != 0, F.col("s2"))).withColumn("p", M.line_prediction("depth"))
+    fits = K.fit_band_and_line(train, ["seed"], "toc", "s2", also=[K.baseline("toc", "depth")])
+    test = K.attach_fit(test_of(rows), fits, ["seed"])
+    return test.withColumn("s2", F.when(F.col("sample_id") % 17 != 0, F.col("s2"))).withColumn("p", F.col("line_a") * F.col("depth") + F.col("line_b"))
 
 
 # -------------------------------------------------------------------- flagship
@@ -382,7 +379,7 @@ def seed_fan_out(spark, sf):
  round(greatest(max(toc)*1.1,1),8) AS toc_max, CAST(0.15 AS DOUBLE) AS lambda_s2, count(*) AS n_pairs FROM split WHERE split='train' GROUP BY seed""")
 def constraint_linear_fit(spark, sf):
     train = train_of(two_way(spark, sf, "toc", "s2"))
-    return rounded(K.fit_line_and_cap(train, ["seed"], "toc", "s2").drop("eps"), toc_max=8)
+    return rounded(K.fit_together(train, ["seed"], [K.line_and_cap("toc", "s2")]).drop("eps"), toc_max=8)
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT CAST(floor(ac*10) AS BIGINT) AS cell, count(*) AS n, quantile_cont(toc,CAST(0.5 AS DOUBLE)) AS med,
@@ -391,7 +388,7 @@ def constraint_linear_fit(spark, sf):
  round(greatest(top*1.1,1),8) AS toc_max, n AS n_pairs FROM g""")
 def constraint_small_groups(spark, sf):
     rows = samples(spark, sf).select(F.floor(F.col("ac") * 10).alias("cell"), "toc", "s2")
-    fits = K.fit_line_and_cap(rows, ["cell"], "toc", "s2")
+    fits = K.fit_together(rows, ["cell"], [K.line_and_cap("toc", "s2")])
     # medians of two values end in a rounding tie; twice the value does not
     return rounded(fits.select("cell", "a", (F.col("b") * 2).alias("b_twice"), "toc_max", "n_pairs"), toc_max=8)
 
@@ -405,22 +402,22 @@ def constraint_hi_fit(spark, sf):
 @query(f"""WITH {SPLIT2} SELECT seed, round(CASE WHEN regr_slope(toc,s2) < 0 THEN 0.1 ELSE regr_slope(toc,s2) END,6) AS a_lin,
  round(CASE WHEN regr_slope(toc,s2) < 0 THEN 0 ELSE regr_intercept(toc,s2) END,6) AS b_lin FROM split WHERE split='train' GROUP BY seed""")
 def refine_line_a(spark, sf):
-    return rounded(K.fit_refine_line(train_of(two_way(spark, sf, "toc", "s2")), ["seed"], "toc", "s2"))
+    return rounded(K.fit_together(train_of(two_way(spark, sf, "toc", "s2")), ["seed"], [K.refine_line("toc", "s2")]))
 
 
 @query(f"""WITH {SPLIT2} SELECT seed, round(regr_slope(s2,toc),6) AS a_lin, round(regr_intercept(s2,toc),6) AS b_lin
  FROM split WHERE split='train' AND toc > 0.000001 GROUP BY seed""")
 def refine_line_b(spark, sf):
-    return rounded(K.fit_refine_inverse_line(train_of(two_way(spark, sf, "toc", "s2")), ["seed"], "toc", "s2"))
+    return rounded(K.fit_together(train_of(two_way(spark, sf, "toc", "s2")), ["seed"], [K.refine_inverse_line("toc", "s2")]))
 
 
 @query(f"""WITH {SPLIT2}, c AS (SELECT seed, greatest(max(toc)*1.1,1) AS c1, greatest(max(toc)*1.1,25) AS c25 FROM split WHERE split='train' GROUP BY seed)
  SELECT seed, round(CASE WHEN c1 < 5 THEN 15 ELSE c1 END,8) AS raise_small, round(c25,8) AS floor_25, round(c1,8) AS plain FROM c""")
 def refine_cap(spark, sf):
     train = train_of(two_way(spark, sf, "toc"))
-    caps = [K.fit_refine_cap(train, ["seed"], "toc", rule).withColumnRenamed("toc_max", rule)
-            for rule in ("raise_small", "floor_25", "plain")]
-    return rounded(caps[0].join(caps[1], "seed").join(caps[2], "seed"), raise_small=8, floor_25=8, plain=8)
+    caps = [K.refine_cap("toc", rule, name=rule) for rule in ("raise_small", "floor_25", "plain")]
+    shared = K.Fit(caps[0].aggs, {rule: c.params[rule] for c in caps for rule in c.params})
+    return rounded(K.fit_together(train, ["seed"], [shared]), raise_small=8, floor_25=8, plain=8)
 
 
 @query(f"WITH {PRED} SELECT setting, seed, sample_id, round(least(greatest(p-2,0),toc_max),6) AS y FROM pred")
@@ -692,13 +689,12 @@ def network_rows(spark, sf):
     """TRAIN and TEST rows of three seeds for the network, base prediction from a line."""
     table = samples(spark, sf).select("sample_id", "toc", "s2", "s1", "depth")
     rows = P.repeated_split(table, P.seed_schedule(3), TEST_SIZE)
-    lines = M.fit_line_baseline(train_of(rows), ["seed"], "toc", "depth")
-    terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"])
-             for r in K.fit_refine_line(train_of(rows), ["seed"], "toc", "s2")
-             .join(K.fit_refine_cap(train_of(rows), ["seed"], "toc", "plain"), "seed").collect()}
-    long = K.attach_fit(rows, lines, ["seed"]).select(
+    fits = K.fit_together(train_of(rows), ["seed"], [
+        K.baseline("toc", "depth"), K.refine_line("toc", "s2"), K.refine_cap("toc", "plain")])
+    terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"]) for r in fits.collect()}  # one row per seed
+    long = K.attach_fit(rows, fits, ["seed"]).select(
         "sample_id", "split", "seed", F.array(F.col("s2") / 10, F.col("s1") / 10).alias("x"), F.col("toc").alias("y"), "s2",
-        F.array("seed").alias("runs"), F.array(X.floor_at_zero(M.line_prediction("depth"))).alias("y_bases"))
+        F.array("seed").alias("runs"), F.array(X.floor_at_zero(F.col("line_a") * F.col("depth") + F.col("line_b"))).alias("y_bases"))
     return long, terms
 
 

@@ -16,8 +16,11 @@ LOG_ROLES = {"AC": "ac", "GR": "gr", "K": "k", "TH": "th", "U": "u", "RD": "rd",
 def samples(spark: SparkSession, sf_dir: str, *, cache: bool = True) -> DataFrame:
     """Kept in memory and on disk, since a study scans it several times; a lost
     block is recomputed from the tables."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    # known schemas: no job to infer them, and scans read these columns only
+    orders = spark.read.schema("o_orderkey bigint, o_totalprice double").parquet(f"{sf_dir}/orders.parquet")
+    lines = spark.read.schema(
+        "l_orderkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    ).parquet(f"{sf_dir}/lineitem.parquet")
     # Aggregate the lines first: a single order may hold any share of them, and
     # partial sums keep such an order from reaching the join row by row.
     per_order = lines.groupBy("l_orderkey").agg(

@@ -31,7 +31,7 @@ FLAT = [(y, 3.0) for y in rng.uniform(0, 5, 20)]
 def test_line_and_cap(spark):
     groups = {"up": UP, "down": DOWN, "flat": FLAT, "four": UP[:4], "nine": UP[:9], "none": [(1.0, None), (NAN, 2.0)],
               "gaps": UP + [(None, 1.0), (1000.0, NAN)], "small": [(0.1, 1.0)] * 3}
-    fit = by_group(K.fit_line_and_cap(table(spark, groups), ["g"], "y", "s2"))
+    fit = by_group(K.fit_together(table(spark, groups), ["g"], [K.line_and_cap("y", "s2")]))
     a, b = lstsq(*zip(*UP))
     for g in ("up", "gaps"):  # pairs with a missing side do not count, not even for the cap
         assert fit[g]["a"] == pytest.approx(a) and fit[g]["b"] == pytest.approx(b)
@@ -48,7 +48,7 @@ def test_line_and_cap(spark):
 @pytest.mark.parametrize("n", range(1, 10))
 def test_small_median_is_exact(spark, n):
     ys = rng.normal(size=n)
-    fit = K.fit_line_and_cap(table(spark, {"g": [(y, 1.0) for y in ys]}), ["g"], "y", "s2").first()
+    fit = K.fit_together(table(spark, {"g": [(y, 1.0) for y in ys]}), ["g"], [K.line_and_cap("y", "s2")]).first()
     assert fit["b"] == pytest.approx(np.median(ys), rel=1e-15)
 
 
@@ -71,11 +71,11 @@ def test_band_and_line(spark):
 
 def test_refine_lines(spark):
     groups = {"up": UP, "down": DOWN, "nine": UP[:9], "zero y": [(0.0, s) for s in range(20)]}
-    direct = by_group(K.fit_refine_line(table(spark, groups), ["g"], "y", "s2"))
+    direct = by_group(K.fit_together(table(spark, groups), ["g"], [K.refine_line("y", "s2")]))
     a, b = lstsq(*zip(*UP))
     assert direct["up"]["a_lin"] == pytest.approx(a) and direct["up"]["b_lin"] == pytest.approx(b)
     assert all((direct[g]["a_lin"], direct[g]["b_lin"]) == (0.1, 0.0) for g in ("down", "nine"))
-    inverse = by_group(K.fit_refine_inverse_line(table(spark, groups), ["g"], "y", "s2"))
+    inverse = by_group(K.fit_together(table(spark, groups), ["g"], [K.refine_inverse_line("y", "s2")]))
     y, s = map(np.array, zip(*UP))
     a, b = lstsq(s[y > 1e-6], y[y > 1e-6])
     assert inverse["up"]["a_lin"] == pytest.approx(a) and inverse["up"]["b_lin"] == pytest.approx(b)
@@ -85,7 +85,7 @@ def test_refine_lines(spark):
 @pytest.mark.parametrize("rule, top, expected", [("raise_small", 2.0, 15.0), ("raise_small", 10.0, 11.0), ("floor_25", 2.0, 25.0),
                                                  ("floor_25", 100.0, 110.0), ("plain", 0.1, 1.0), ("plain", 10.0, 11.0)])
 def test_refine_cap(spark, rule, top, expected):
-    assert K.fit_refine_cap(table(spark, {"g": [(top, 1.0)]}), ["g"], "y", rule).first()["toc_max"] == pytest.approx(expected)
+    assert K.fit_together(table(spark, {"g": [(top, 1.0)]}), ["g"], [K.refine_cap("y", rule)]).first()["toc_max"] == pytest.approx(expected)
 
 
 def test_unknown_names():
@@ -130,3 +130,12 @@ def test_composite_order_and_flat_line(spark):
     assert applied(spark, rows, K.composite("y", "s2"), **flat) == [5.0, 20.0, 7.0]
     assert applied(spark, rows, K.composite("y", None), **fit) == [0.0, 99.0, 7.0]
     assert math.isclose(applied(spark, rows, K.composite("y", "s2", with_band=False), **fit)[1], 0.95 * 99 + 0.05 * 5)
+
+
+def test_fits_share_one_aggregation(spark):
+    fits = [K.line_and_cap("y", "s2"), K.refine_line("y", "s2"), K.inverse_line("y", "s2"), K.refine_cap("y", "plain", name="top")]
+    together = by_group(K.fit_together(table(spark, {"up": UP, "four": UP[:4]}), ["g"], fits))
+    for fit in fits:
+        alone = by_group(K.fit_together(table(spark, {"up": UP, "four": UP[:4]}), ["g"], [fit]))
+        for g in alone:
+            assert {k: together[g][k] for k in alone[g]} == alone[g]
