@@ -105,34 +105,38 @@ def _literal(value: Any) -> str:
 
 
 def _cut_array(cuts: Sequence[tuple[int, Cut]]) -> Column:
-    """``array<struct<seed, test_h, test_id[, val_h, val_id]>>`` of literals."""
+    """``array<struct<seed, test struct<h, id>[, val struct<h, id>]>>`` of literals."""
+
+    def place(pair: tuple[str, Any]) -> str:
+        return f"named_struct('h', {_literal(pair[0])}, 'id', {_literal(pair[1])})"
 
     def entry(seed: int, cut: Cut) -> str:
-        fields = [("seed", str(seed)), ("test_h", _literal(cut.test[0])), ("test_id", _literal(cut.test[1]))]
-        if cut.val is not None:
-            fields += [("val_h", _literal(cut.val[0])), ("val_id", _literal(cut.val[1]))]
-        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
+        val = "" if cut.val is None else f", 'val', {place(cut.val)}"
+        return f"named_struct('seed', {seed}, 'test', {place(cut.test)}{val})"
 
     return F.expr("array(" + ", ".join(entry(seed, cut) for seed, cut in cuts) + ")")
 
 
-def _part(digest: Column, sample_id: Column, test: tuple[Column, Column], val: tuple[Column, Column] | None) -> Column:
-    def upto(h: Column, last: Column) -> Column:
-        return (digest < h) | ((digest == h) & (sample_id <= last))
-
-    part = F.when(upto(*test), F.lit(TEST))
+def _part(place: Column, test: Column, val: Column | None) -> Column:
+    # (digest, id) is compared as one value, so the digest is computed once per row
+    part = F.when(place <= test, F.lit(TEST))
     if val is not None:
-        part = part.when(upto(*val), F.lit(VAL))
+        part = part.when(place <= val, F.lit(VAL))
     return part.otherwise(F.lit(TRAIN))
 
 
+def _place(seed: Column | int, id_col: str, digest: str) -> Column:
+    sample_id = F.col(id_col)
+    return F.struct(split_digest(seed, sample_id, digest).alias("h"), sample_id.alias("id"))
+
+
 def part_of(cut: Cut, seed: int, id_col: str = "sample_id", digest: str = "md5") -> Column:
     """TRAIN / VAL / TEST of a row in one run, from literals."""
 
-    def lits(pair):
-        return F.lit(pair[0]), F.lit(pair[1])
+    def lit(pair: tuple[str, Any]) -> Column:
+        return F.struct(F.lit(pair[0]).alias("h"), F.expr(_literal(pair[1])).alias("id"))
 
-    return _part(split_digest(seed, F.col(id_col), digest), F.col(id_col), lits(cut.test), lits(cut.val) if cut.val else None)
+    return _part(_place(seed, id_col, digest), lit(cut.test), lit(cut.val) if cut.val else None)
 
 
 def assign_splits(
@@ -156,13 +160,8 @@ def assign_splits(
             arrays = F.when(hit, _cut_array(listed)) if arrays is None else arrays.when(hit, _cut_array(listed))
     with_val = any(cut.val is not None for cut in cuts.values())
     rows = df.withColumn("_cut", F.explode(arrays)).withColumn("seed", F.col("_cut.seed"))
-    h = split_digest(F.col("seed"), F.col(id_col), digest)
-    val = (F.col("_cut.val_h"), F.col("_cut.val_id")) if with_val else None
-    return (
-        rows.withColumn("_h", h)
-        .withColumn("split", _part(F.col("_h"), F.col(id_col), (F.col("_cut.test_h"), F.col("_cut.test_id")), val))
-        .drop("_cut", "_h")
-    )
+    part = _part(_place(F.col("seed"), id_col, digest), F.col("_cut.test"), F.col("_cut.val") if with_val else None)
+    return rows.withColumn("split", part).drop("_cut")
 
 
 def repeated_split(
