@@ -50,9 +50,31 @@ def numeric_key(value: Column | str) -> KeyRule:
     return lambda level: F.floor(scaled * F.lit(4096.0**level))
 
 
-def hex_key(digest: Column | str) -> KeyRule:
-    """Prefixes of a fixed-width hex digest: 4096 cells, 4096 times finer with each level."""
-    return lambda level: F.substring(as_column(digest), 1, 3 * (level + 1))
+def hex_key(digest: Column | str, around: Sequence[float] = (), margin: float = 0.01) -> KeyRule:
+    """Prefixes of a fixed-width hex digest: 4096 cells, 4096 times finer with each level.
+
+    A digest is uniform, so a rank at share ``t`` lies near share ``t`` of the
+    digest range. With ``around`` the first level tells cells apart only within
+    ``margin`` of those shares and lumps the rest, which keeps the counts that
+    a task sends per group below a hundred. A small table whose rank falls
+    outside is still found: its lump is cut up by the next level.
+    """
+    h = as_column(digest)
+    windows = sorted((max(int((t - margin) * 4096), 0), min(int((t + margin) * 4096) + 1, 4096)) for t in around)
+
+    def first() -> Column:
+        if not windows:
+            return F.substring(h, 1, 3)
+        cell, lump = None, "-"  # sorts before hex digits
+        for low, high in windows:
+            before = h < F.lit(f"{low:03x}")
+            cell = F.when(before, F.lit(lump)) if cell is None else cell.when(before, F.lit(lump))
+            if high < 4096:
+                cell = cell.when(h < F.lit(f"{high:03x}"), F.substring(h, 1, 3))
+                lump = f"{high:03x}"
+        return cell.otherwise(F.lit(lump) if windows[-1][1] < 4096 else F.substring(h, 1, 3))
+
+    return lambda level: first() if level == 0 else F.substring(h, 1, 3 * (level + 1))
 
 
 def select_ranks(

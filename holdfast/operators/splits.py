@@ -91,8 +91,9 @@ def find_cuts(
     ranks = {TEST: lambda n: test_rows(n, test_size)}
     if val_size is not None:
         ranks[VAL] = lambda n: held_out_rows(n, test_size, val_size)
+    near = [test_size] + ([test_size + val_size] if val_size is not None else [])
     found: dict[tuple[Any, int], dict] = {}
-    for r in select_ranks(rows, groups, ["_h", "_id"], hex_key("_h"), ranks):
+    for r in select_ranks(rows, groups, ["_h", "_id"], hex_key("_h", near), ranks):
         key = r.group if within else (None, *r.group)
         found.setdefault(key, {"n": r.n})[r.tag] = r.value
     return {key: Cut(c["n"], c[TEST], c.get(VAL)) for key, c in sorted(found.items(), key=lambda kv: str(kv[0]))}

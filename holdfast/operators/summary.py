@@ -148,6 +148,11 @@ def best_seed(metrics: DataFrame, groups: Sequence[str] = ("setting",)) -> DataF
     )
 
 
+def rows_of_picks(predictions: DataFrame, picks: DataFrame) -> DataFrame:
+    """Predictions of the picked seeds only: prunes partitions before any join of predictions."""
+    return predictions.join(F.broadcast(picks.select("seed").distinct()), "seed", "left_semi")
+
+
 def diagnostic_rows(pairs: DataFrame, picks: DataFrame) -> DataFrame:
     """The joined predictions of the picked seeds, tagged. ``picks`` has at most three rows."""
     return pairs.join(F.broadcast(picks), "seed").select("tag", "seed", "sample_id", "y_true", "y_base", "y_full")

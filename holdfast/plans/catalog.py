@@ -559,20 +559,20 @@ _PAIRS = """, pairs AS (SELECT a.seed, a.sample_id, a.y_true, a.y_full AS y_base
  ON a.seed=b.seed AND a.sample_id=b.sample_id WHERE a.setting='NoRes' AND b.setting='Full')"""
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = line_predictions(spark, sf)
+def pairs(rows: DataFrame) -> DataFrame:
     return A.join_predictions(rows.where(F.col("setting") == "NoRes"), rows.where(F.col("setting") == "Full"), pred="y_full")
 
 
 @query(f"WITH {PRED} {_PAIRS} SELECT seed, sample_id, y_true, round(y_base,6) AS y_base, round(y_full,6) AS y_full FROM pairs")
 def join_predictions(spark, sf):
-    return rounded(pairs(spark, sf))
+    return rounded(pairs(line_predictions(spark, sf)))
 
 
 @query(f"WITH {METRICS} {_PICKS} {_PAIRS} SELECT tag, seed, sample_id, y_true, round(y_base,6) AS y_base, round(y_full,6) AS y_full FROM pairs JOIN picks USING (seed)")
 def diag_bundle(spark, sf):
-    full = run_metrics(spark, sf).where(F.col("mode") == "full")
-    return rounded(S.diagnostic_rows(pairs(spark, sf), S.seed_picks(S.delta_between_settings(full))))
+    rows = line_predictions(spark, sf)
+    picks = S.seed_picks(S.delta_between_settings(A.metrics(rows).where(F.col("mode") == "full")))
+    return rounded(S.diagnostic_rows(pairs(S.rows_of_picks(rows, picks)), picks))
 
 
 @query(f"""WITH {METRICS} SELECT setting, seed, sample_id, round(CASE WHEN delta.r2_full >= delta.r2_base THEN y_full ELSE y_base END,6) AS y_kept,

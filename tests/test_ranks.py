@@ -56,3 +56,17 @@ def test_one_hot_value_needs_no_further_passes(spark, monkeypatch):
     df = frame(spark, {"a": [2.5] * 500 + [9.0]})
     Q.select_ranks(df, ["g"], ["v"], Q.numeric_key("v"), {"m": lambda n: F.floor(n / 2)}, few_rows=10)
     assert len(passes) == 1
+
+
+@pytest.mark.parametrize("n", [1, 7, 300])
+@pytest.mark.parametrize("around", [(), (0.2,), (0.2, 0.32), (0.0,), (0.995,), (0.2, 0.205)])
+def test_hex_windows_never_lose_a_rank(spark, n, around):
+    import hashlib
+
+    rows = [("g", hashlib.md5(str(i).encode()).hexdigest(), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h string, id bigint")
+    order = sorted((h, i) for _, h, i in rows)
+    ranks = {str(k): (lambda _, k=k: F.lit(k)) for k in {1, n // 5 + 1, n // 2 + 1, n}}
+    for few in (1, 1000):
+        found = Q.select_ranks(df, ["g"], ["h", "id"], Q.hex_key("h", around), ranks, few_rows=few)
+        assert {int(r.tag): r.value for r in found} == {int(k): order[int(k) - 1] for k in ranks}
