@@ -165,6 +165,18 @@ def assign_splits(
     return rows.withColumn("split", part).drop("_cut")
 
 
+def split_array(df: DataFrame, cuts: Cuts, *, id_col: str = "sample_id", digest: str = "md5") -> DataFrame:
+    """One row per sample with ``splits array<struct<seed, split>>`` instead of a row per seed."""
+    with_val = any(cut.val is not None for cut in cuts.values())
+
+    def entry(cut: Column) -> Column:
+        part = _part(_place(cut["seed"], id_col, digest), cut["test"], cut["val"] if with_val else None)
+        return F.struct(cut["seed"].alias("seed"), part.alias("split"))
+
+    listed = _cut_array([(seed, cut) for (_, seed), cut in cuts.items()])
+    return df.withColumn("splits", F.transform(listed, entry))
+
+
 def repeated_split(
     df: DataFrame,
     seeds: Sequence[int],

@@ -685,39 +685,41 @@ def gbt_importance(spark, sf):
     return M.feature_importance(spark, [run])
 
 
-def network_rows(spark, sf):
-    """TRAIN and TEST rows of three seeds for the network, base prediction from a line."""
+def trained_networks(spark, sf):
+    """TEST rows (one per sample, three seeds as arrays) and a network per seed; the base is a line."""
     table = samples(spark, sf).select("sample_id", "toc", "s2", "s1", "depth")
-    rows = P.repeated_split(table, P.seed_schedule(3), TEST_SIZE)
-    fits = K.fit_together(train_of(rows), ["seed"], [
-        K.baseline("toc", "depth"), K.refine_line("toc", "s2"), K.refine_cap("toc", "plain")])
-    terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"]) for r in fits.collect()}  # one row per seed
-    long = K.attach_fit(rows, fits, ["seed"]).select(
-        "sample_id", "split", "seed", F.array(F.col("s2") / 10, F.col("s1") / 10).alias("x"), F.col("toc").alias("y"), "s2",
-        F.array("seed").alias("runs"), F.array(X.floor_at_zero(F.col("line_a") * F.col("depth") + F.col("line_b"))).alias("y_bases"))
-    return long, terms
+    cuts = P.find_cuts(table, P.seed_schedule(3), TEST_SIZE)
+    fits = K.fit_together(train_of(P.assign_splits(table, cuts)), ["seed"], [
+        K.baseline("toc", "depth"), K.refine_line("toc", "s2"), K.refine_cap("toc", "plain")]).collect()  # one row per seed
+    terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"]) for r in fits}
+    line = F.create_map(*[x for r in fits for x in (F.lit(r["seed"]), F.struct(F.lit(r["line_a"]).alias("a"), F.lit(r["line_b"]).alias("b")))])
+    rows = P.split_array(table, cuts)
 
+    def part(name: str) -> DataFrame:
+        kept = rows.withColumn("_in", F.filter("splits", lambda e: e["split"] == name)).where(F.size("_in") > 0)
+        return kept.select(
+            "sample_id", F.array(F.col("s2") / 10, F.col("s1") / 10).alias("x"), F.col("toc").alias("y"), "s2",
+            F.transform("_in", lambda e: e["seed"]).alias("runs"),
+            F.transform("_in", lambda e: X.floor_at_zero(line[e["seed"]]["a"] * F.col("depth") + line[e["seed"]]["b"])).alias("y_bases"))
 
-def trained_networks(spark, sf):
-    long, terms = network_rows(spark, sf)
-    weights, history = N.train_networks(train_of(long), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=6))
-    return long, weights, history
+    weights, _ = N.train_networks(part(P.TRAIN), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=6))
+    return part(P.TEST), weights
 
 
 @query()
 def refine_predict(spark, sf):
     """Networks of three seeds trained together: TEST predictions."""
-    long, weights, _ = trained_networks(spark, sf)
-    done = N.predict_networks(test_of(long), weights)
-    return done.select("seed", "sample_id", F.col("y").alias("y_true"), F.col("y_bases")[0].alias("y_base"),
-                       F.col("y_refineds")[0].alias("y_refined"))
+    test, weights = trained_networks(spark, sf)
+    each = F.explode(F.arrays_zip("runs", "y_bases", "y_refineds")).alias("e")
+    return N.predict_networks(test, weights).select("sample_id", F.col("y").alias("y_true"), each).select(
+        F.col("e.runs").alias("seed"), "sample_id", "y_true", F.col("e.y_bases").alias("y_base"), F.col("e.y_refineds").alias("y_refined"))
 
 
 @query()
 def monotone_violation(spark, sf):
     """How far each network breaks the rising relation to its features."""
-    long, weights, _ = trained_networks(spark, sf)
-    return N.monotone_violation(test_of(long), weights, [(0, 1), (1, 1)])
+    test, weights = trained_networks(spark, sf)
+    return N.monotone_violation(test, weights, [(0, 1), (1, 1)])
 
 
 @query()

@@ -65,6 +65,12 @@ def test_part_of_is_the_same_as_assign(spark):
     assert {r[0]: r[1] for r in df.collect()} == brute_force(range(200), 4, 0.2, 0.15)
 
 
+def test_split_array_is_the_same_as_assign(spark):
+    cuts = P.find_cuts(ids(spark, 150), [0, 6], 0.2, 0.15)
+    packed = P.split_array(ids(spark, 150), cuts).select("sample_id", F.explode("splits").alias("e")).select("sample_id", "e.*")
+    assert set(map(tuple, packed.collect())) == set(map(tuple, P.assign_splits(ids(spark, 150), cuts).collect()))
+
+
 def test_seed_schedules():
     assert P.seed_schedule(3) == [0, 1, 2]
     assert P.seed_schedule(2, offset=40) == [40, 41]

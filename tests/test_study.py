@@ -35,6 +35,9 @@ def test_multi_basin_study(spark, logs, tmp_path_factory):
     again = S.ablation_summary(A.metrics(spark.read.parquet(f"{out}/predictions")))
     assert [tuple(x) for x in again.select("setting", "mode", "n_repeats").collect()] == [
         tuple(x) for x in r.summary.select("setting", "mode", "n_repeats").collect()]
+    nets = r.networks.collect()
+    assert {(x["setting"], x["seed"]) for x in nets} == {("Full", 0), ("Full", 1)}
+    assert all(x["violation"] >= 0 and x["loss_last"] > 0 for x in nets)
     best = {s: run.seed for s, run in r.best_runs.items()}
     full = r.metrics.where("mode = 'full'")
     assert best == {x["setting"]: x["seed"] for x in S.best_seed(full).collect()}
