@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from holdfast.llm import winnow
+from holdfast.llm import langid, winnow
 
-QUERIES = {"op10_benchmark_decontamination": winnow.query}
+QUERIES = {
+    "op2_language_id": langid.query,
+    "op10_benchmark_decontamination": winnow.query,
+}
 ORACLES = {"op10_benchmark_decontamination": winnow.ORACLE_SQL}
