@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, tokens, winnow
+from holdfast.llm import langid, mixing, tokens, winnow
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op4_token_ids": tokens.query,
+    "op7_mixing": mixing.query,
     "op10_benchmark_decontamination": winnow.query,
 }
 ORACLES = {"op10_benchmark_decontamination": winnow.ORACLE_SQL}
