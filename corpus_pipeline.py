@@ -1,19 +1,52 @@
-"""From raw documents to token files: each stage's table is the next one's input."""
+"""From raw documents to token files: each stage's table is the next one's input.
+
+The stages, each a call of one operator of ``holdfast.llm``: texts in no clear
+language go, one document of each near-duplicate group stays, contaminated ones
+go, sources are drawn to tempered weights, token files are written and read back.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from holdfast.llm import winnow
+from holdfast.llm import langid, minhash, mixing, tokens, winnow
+from holdfast.session import land, scratch_path
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.resample(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tokens.encode(docs)
+
 
 STAGES = [
-    ("benchmark decontamination", lambda spark, docs, sf_dir: winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))),
+    ("language id", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token ids", write_tokens),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # compressed sizes, hashed permutations and a tokenizer are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = land(docs, scratch_path(spark, f"stage{i}"))
     return docs
