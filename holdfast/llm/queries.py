@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, mixing, tokens, winnow
+from holdfast.llm import langid, minhash, mixing, tokens, winnow
 
 QUERIES = {
     "op2_language_id": langid.query,
     "op4_token_ids": tokens.query,
     "op7_mixing": mixing.query,
+    "op9_minhash_near_dedup": minhash.query,
     "op10_benchmark_decontamination": winnow.query,
 }
-ORACLES = {"op10_benchmark_decontamination": winnow.ORACLE_SQL}
+ORACLES = {
+    "op9_minhash_near_dedup": minhash.ORACLE_SQL,
+    "op10_benchmark_decontamination": winnow.ORACLE_SQL,
+}
