@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from holdfast.llm import langid, minhash, mixing, tokens, winnow
+from holdfast.llm import extract, langid, minhash, mixing, shuffle, tokens, warc, winnow
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_language_id": langid.query,
+    "op3_html_extraction": extract.query,
     "op4_token_ids": tokens.query,
     "op7_mixing": mixing.query,
+    "op8_sharding": shuffle.query,
     "op9_minhash_near_dedup": minhash.query,
     "op10_benchmark_decontamination": winnow.query,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
     "op9_minhash_near_dedup": minhash.ORACLE_SQL,
     "op10_benchmark_decontamination": winnow.ORACLE_SQL,
 }
