@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from holdfast.llm import extract, langid, minhash, mixing, shuffle, tokens, warc, winnow
+from holdfast.llm import extract, langid, minhash, mixing, ppm, shuffle, tokens, warc, winnow
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_language_id": langid.query,
     "op3_html_extraction": extract.query,
     "op4_token_ids": tokens.query,
+    "op5_lm_scoring": ppm.query,
     "op7_mixing": mixing.query,
     "op8_sharding": shuffle.query,
     "op9_minhash_near_dedup": minhash.query,
