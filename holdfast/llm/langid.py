@@ -24,6 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructType
 
 SAMPLES = 512
 PIECE = 400
@@ -128,9 +129,9 @@ def _scan(shared_model):
 
 
 def _decide(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scan(shared), f"{fields}, lang_pred string, score double, accepted boolean")
+    found = StructType().add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = StructType([f for f in rows.schema if f.name != "text"] + found.fields)
+    return rows.mapInArrow(_scan(rows.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def identify(docs: DataFrame, model: LanguageModel, *keep: Column) -> DataFrame:
@@ -156,7 +157,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     carries the row along.
     """
     model = fit(docs.select("doc_id", "text", "lang"))
-    return _decide(docs.select(F.struct(*docs.columns).alias("row")), model).filter("accepted").select("row.*")
+    return _decide(docs.select(F.struct("*").alias("row")), model).filter("accepted").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -391,13 +391,16 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """
     found = near_duplicates(docs, **options).filter("kept").select("doc_id", "text_hash", "n_shingles")
     kept = found.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
-    kept = land(kept.toDF("_id", "_hash", "_n", "_copies"), scratch_path(docs.sparkSession, "kept"))
-    key = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
-    out = docs.join(kept, key)
-    if kept.filter("_copies > 1 AND _n > 0").limit(1).count():
-        once = out.filter("_copies > 1 AND _n > 0").dropDuplicates(["_id", "_hash"])
-        out = out.filter("NOT (_copies > 1 AND _n > 0)").unionByName(once)
-    return out.drop("_id", "_hash", "_n", "_copies")
+    kept = land(kept, scratch_path(docs.sparkSession, "kept"))
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(keys["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == keys["text_hash"])
+        return docs.join(keys, same, "left_semi")
+
+    repeated = kept.filter("copies > 1 AND n > 0")
+    if repeated.isEmpty():
+        return rows_of(kept)
+    return rows_of(kept.filter("copies = 1 OR n = 0")).union(rows_of(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def mix(
     plan = solve(tokens, budget, entropy, repeats)
     cuts = _cuts(sized, plan, tokens, seed, block_tokens).withColumnRenamed("source", "_source")
     drawn = (
-        docs.select(F.struct(*docs.columns).alias("row"), source.alias("source"), row_key.alias("_key"), words().alias("tokens"))
+        docs.select(F.struct("*").alias("row"), source.alias("source"), row_key.alias("_key"), words().alias("tokens"))
         .join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("_source")))  # MAX_SOURCES x passes short rows
         .withColumn("order", _order(seed, F.col("pass"), F.col("_key")))
         .withColumn("block", _block(F.col("order"), F.col("blocks")))

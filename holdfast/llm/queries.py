@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.llm import extract, langid, minhash, mixing, ppm, shuffle, tokens, warc, winnow
+from holdfast.llm import extract, langid, minhash, mixing, ppm, shuffle, tokens, topk, warc, winnow
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -10,12 +10,14 @@ QUERIES = {
     "op3_html_extraction": extract.query,
     "op4_token_ids": tokens.query,
     "op5_lm_scoring": ppm.query,
+    "op6_exact_topk": topk.query,
     "op7_mixing": mixing.query,
     "op8_sharding": shuffle.query,
     "op9_minhash_near_dedup": minhash.query,
     "op10_benchmark_decontamination": winnow.query,
 }
 ORACLES = {
+    "op6_exact_topk": topk.ORACLE_SQL,
     "op1_warc": warc.ORACLE_SQL,
     "op9_minhash_near_dedup": minhash.ORACLE_SQL,
     "op10_benchmark_decontamination": winnow.ORACLE_SQL,

@@ -37,20 +37,19 @@ def shuffle_to_shards(
 ) -> DataFrame:
     """Write all rows of ``docs`` (doc_id, text, ...) to ``folder``, by shard; returns them.
 
-    Added columns: shard, slot (place in the shard, without gaps from 0). The
-    place of a record depends on the seed, its bucket's contents and nothing
-    else; rows equal in all columns take each other's places. Null texts and ids
-    are kept as they are. More shards than rows leave the last ones empty; an
-    empty table writes none.
+    Added columns: shard, slot (place in the shard, without gaps from 0), in place
+    of columns of these names. The place of a record depends on the seed, its
+    bucket's contents and nothing else; rows equal in all columns take each
+    other's places. Null texts and ids are kept as they are. More shards than rows
+    leave the last ones empty; an empty table writes none.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 8
     total = docs.agg(F.sum(size).alias("bytes")).first()["bytes"] or 0
     buckets = int(total // bucket_bytes) + 1
-    columns = docs.columns
     keyed = docs.select(
-        F.struct(F.xxhash64(F.lit(seed), "doc_id", text).alias("h"), F.struct(*columns).alias("row")).alias("record")
+        F.struct(F.xxhash64(F.lit(seed), "doc_id", text).alias("h"), F.struct("*").alias("row")).alias("record")
     ).withColumn("bucket", F.pmod("record.h", F.lit(buckets)))
 
     path = scratch_path(spark, "buckets")
@@ -63,13 +62,13 @@ def shuffle_to_shards(
     permuted = packed.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", seed).alias("records"))
     permuted = permuted.join(_before(counts), "bucket").select("before", F.posexplode("records").alias("place", "record"))
     position = F.col("before") + F.col("place")
-    shard = F.expr(f"CAST((position * {shards}L) div {max(rows, 1)}L AS INT)")
+    shard = F.expr(f"CAST((_position * {shards}L) div {max(rows, 1)}L AS INT)")
     first = F.expr(f"(shard * {max(rows, 1)}L + {shards - 1}L) div {shards}L")
     placed = (
-        permuted.select(position.alias("position"), "record.row.*")
+        permuted.select(position.alias("_position"), "record.row.*")
         .withColumn("shard", shard)
-        .withColumn("slot", F.col("position") - first)
-        .drop("position")
+        .withColumn("slot", F.col("_position") - first)
+        .drop("_position")
     )
     placed.write.partitionBy("shard").parquet(f"{folder}/shards")
     drop(spark, path)
