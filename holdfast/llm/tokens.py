@@ -50,6 +50,18 @@ _PIECE = re.compile(
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
+class _Places(dict):
+    """Numbers pieces as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.fresh.append(piece)
+        return place
+
+
 class Encoder:
     """Ids of texts, with a bounded memory of the pieces seen."""
 
@@ -57,7 +69,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end
         with open(path, encoding="utf-8") as f:
-            self.by_piece = self._splits_at_blanks(json.load(f))
+            spec = json.load(f)
+        self.by_piece = self._splits_at_blanks(spec)
+        # these are cut out before words are: blanks next to them end a run, so such a text is one piece
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self._forget()
 
     @staticmethod
@@ -71,21 +86,21 @@ class Encoder:
         return plain and spec.get("normalizer") is None and not odd
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.places = _Places()
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.place]
-        if not fresh:
-            return
-        if len(self.place) + len(fresh) > PIECES:
+    def _place(self, pieces: list[str]) -> np.ndarray:
+        """Place of each piece in the memory; new pieces are encoded."""
+        if len(self.places) > PIECES:
             self._forget()
-            fresh = list(dict.fromkeys(pieces))
-        found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(fresh))
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.uint32)])
+        out = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        fresh, self.places.fresh = self.places.fresh, []
+        if fresh:
+            found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(fresh))
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.uint32)])
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, an end id after each text, and the number per text."""
@@ -93,10 +108,9 @@ class Encoder:
             whole = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             per_text = [np.array([*e.ids, self.end], dtype=np.uint32) for e in whole]
             return np.concatenate(per_text), np.array([len(x) for x in per_text])
-        split = [_PIECE.findall(t) for t in texts]
+        split = [[t] if any(a in t for a in self.added) else _PIECE.findall(t) for t in texts]
         pieces = [p for row in split for p in row]
-        self._learn(pieces)
-        place = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        place = self._place(pieces)
         sizes = self.begin[place + 1] - self.begin[place]
         n_pieces = np.array([len(row) for row in split], dtype=np.int64)
         before = np.concatenate([[0], np.cumsum(sizes)])
@@ -131,8 +145,8 @@ def frames(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         parts = []
         for kind, count in (("<i8", docs), ("u1", docs), ("<i8", docs), ("<i8", n_blocks), ("<u8", n_escapes), ("<u8", n_words)):
             parts.append(np.frombuffer(source.read(count * np.dtype(kind).itemsize), dtype=kind))
-        numbers, present, counts, _, escapes, words = parts
-        yield numbers, present.astype(bool), counts, simple8b.decode(words, escapes, n)
+        numbers, present, counts, blocks, escapes, words = parts
+        yield numbers, present.astype(bool), counts, simple8b.decode(words, escapes, blocks, 0, n)
 
 
 def _by_size(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:

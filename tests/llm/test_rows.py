@@ -1,0 +1,314 @@
+"""Language, extraction, scores, archives, tokens, shards and mixes."""
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from brute import Trie, words
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from holdfast.llm import extract, langid, mixing, ppm, shuffle, tokens, warc
+from holdfast.session import scratch_path
+
+TESTDATA = "/root/testdata/sf0.001"
+ODD = [None, "", " \n", "One", "one two", "é 日本 ß x", "a\x00b", "<|endoftext|> and  <|endoftext|>", "it's we'll\r\n\t x"]
+rng = random.Random(3)
+
+
+def docs(spark, rows, extra="place int"):
+    return spark.createDataFrame([(*r, 0) for r in rows], f"doc_id long, text string, lang string, source string, {extra}")
+
+
+# language
+
+
+def test_held_out_languages_are_told(spark):
+    rows = langid.query(spark, TESTDATA.replace("0.001", "0.01")).filter("held_out").collect()
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{TESTDATA.replace('0.001', '0.01')}/documents.parquet").collect()}
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in rows]) > 0.96
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_of_odd_texts(spark):
+    known = [(i, t, l, "s") for i, (t, l) in enumerate([("the cat and the dog of the house", "en"), ("der hund und die katze im haus", "de")] * 3)]
+    known += [(90, "no label", None, "s"), (91, None, "en", "s"), (None, "das ist", "de", "s")]
+    model = langid.fit(docs(spark, known))
+    assert sorted(model.content) == ["de", "en"]
+    odd = docs(spark, [(i, t, "en", "s") for i, t in enumerate([*ODD, "12 34 !!", "die katze und der hund", "the " * 50_000])], "score int")
+    got = {r.doc_id: r for r in langid.identify(odd, model, F.col("doc_id")).collect()}
+    assert [got[i].lang_pred for i in (0, 1, 2, 9)] == ["und"] * 4 and not got[0].accepted and got[0].score == 0
+    assert got[10].lang_pred == "de" and got[11].lang_pred == "en" and got[11].accepted
+    kept = langid.keep_identified(odd)
+    assert kept.columns == odd.columns and None not in {r.text for r in kept.collect()}
+    nothing = langid.identify(odd, langid.fit(odd.limit(0)), F.col("doc_id")).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+    assert langid.keep_identified(odd.limit(0)).collect() == []
+
+
+def test_too_many_languages_are_an_error(spark):
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs(spark, [(i, "some text", f"l{i}", "s") for i in range(70)]))
+
+
+# extraction
+
+PROSE = "The article is about the things that are in it and it was written for you by us. " * 4
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (None, ""),
+        ("", ""),
+        ("<p>Hello <b>wor</b>ld &amp; co&nbsp;x", "Hello world & co x"),
+        (f"<nav><a href=x>Home</a></nav><p>Short.</p><p>{PROSE}</p><footer>&copy; us</footer>", f"Short.\n{PROSE.strip()}"),
+        (f"<div class='user-comments'><p>{PROSE}</p></div><p>{PROSE}</p>", PROSE.strip()),
+        (f"<div id=cookie_notice>{PROSE}</div><main><h1>Title</h1><p>{PROSE}<ul><li>one<li>two</ul></main>", f"Title\n{PROSE.strip()}\none\ntwo"),
+        (f"<p>{PROSE}</p><ul><li><a href=a>one link</a><li><a href=b>two links</a></ul>", PROSE.strip()),
+        ("<script>if (a < b) '</p>'</script><style>p{}</style><!-- <p>no</p> --><p>yes</p>", "yes"),
+        ('<p title="a > b">in</p><p broken="x>next</p>', "in\nnext"),
+        ("<article><header><h1>T</h1></header><p>a\n b<br>c</p><aside>no</aside></article><p>out</p>", "T\na b c"),
+        ("<form>name <input></form><div hidden>h</div><div style='display: none'>n</div><p>a < b & c &#233;&#x41;</p>", "a < b & c éA"),
+        ("<div class=ad>buy</div></div></p></nav>text</html>", "text"),
+        ("<nav>x<div>y</nav>z", "z"),
+    ],
+)
+def test_main_text(html, text):
+    assert extract.main_text(html) == text
+
+
+def test_open_blocks_take_the_nearest_label():
+    assert extract.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
+    assert extract.second_pass([True, None, False]) == [True, True, False]
+    assert extract.second_pass([None, None]) == [True, True] and extract.second_pass([]) == []
+
+
+def test_articles_of_pages(spark):
+    rows = extract.query(spark, TESTDATA).collect()
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{TESTDATA}/pages.parquet").collect()}
+    assert len(rows) == len(pages)
+    for r in rows:
+        inner = pages[r.page_id].split("<article>")[1].split("</article>")[0]
+        assert r.n_chars == len(r.text) and "©" not in r.text
+        assert sum(map(len, r.text.split())) == sum(map(len, words_of(inner)))
+    odd = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>x", 2), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
+    assert sorted(map(str, extract.extract(odd).collect())) == sorted(
+        ["Row(page_id=None, url=None, text='', n_chars=0)"] + ["Row(page_id=1, url='u', text='x', n_chars=1)"] * 2
+    )
+
+
+def words_of(html):
+    import re
+    from html import unescape
+
+    return unescape(re.sub(r"<[^>]+>", " ", html)).split()
+
+
+# scores
+
+
+def test_scores_are_those_of_the_trie(spark):
+    vocabulary = ["the", "cat", "sat", "Mat", "ß", "日本", "on\n", "x" * 9]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))), None, None) for i in range(60)]
+    rows += [(100 + i, t, None, None) for i, t in enumerate(ODD)] + [rows[0], rows[0], (None, "no id", None, None), (300, "unseen ☃ zebra", None, None)]
+    held = lambda r: r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 1
+    got = ppm.score(docs(spark, rows, "value int"), langid.fold("doc_id", 3) == 1).collect()
+    train = [r[1] for r in rows if not held(r)]
+    trie, counts = Trie(train, ppm.ORDER), Counter(w for t in train for w in words(t))
+    total, distinct = sum(counts.values()) + len(train), len(counts) + 1
+    want = []
+    for r in rows:
+        n = [counts[w] for w in words(r[1])] + [len(train)]
+        base = sum(math.log10((c + 1) / (total + distinct + 1)) for c in n)
+        want.append((r[0], held(r), len(n), sum(c > 0 for c in n), total, base, trie.log10(r[1])))
+    key = lambda r: (str(r[0]), r[2], round(r[5], 6))
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+
+
+def test_a_symbol_has_probability_one_over_all(spark):
+    trie = Trie(["abcabd", "abx"], 3)
+    for text in ("", "ab", "abc", "zz"):
+        context = (b"\xff" * 3 + text.encode())[-3:]
+        trie.symbols = lambda t, c=context: [(c, t)]
+        assert math.fsum(10 ** trie.log10(s) for s in range(256)) == pytest.approx(1)
+
+
+def test_scores_without_training(spark):
+    rows = docs(spark, [(1, "ab", None, None), (2, None, None, None)])
+    got = {r.doc_id: r for r in ppm.score(rows, F.lit(True)).collect()}
+    assert got[1].score == pytest.approx(-3 * math.log10(256)) and got[1].n_known == 0 and got[2].n_tokens == 1
+    assert ppm.score(rows.limit(0), F.lit(None).cast("boolean")).collect() == []
+
+
+# archives
+
+
+def test_archive_round_trip(spark):
+    big = "<p>" + "long " * 300_000
+    rows = [(i, f"http://x/{i}", f"<p>{i % 7}</p>", 0) for i in range(40)] + [(50, None, None, 0), (51, "u v\r\nX: y", "", 0), (None, "http://n", "<p>3</p>", 0)]
+    rows += [(60, "http://big", big, 0), (61, "http://big", big, 0), (7, "http://x/7", "<p>0</p>", 0), (7, "http://x/7", "<p>0</p>", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, note int")
+    folders = [scratch_path(spark, "warc") for _ in range(2)]
+    manifests = [warc.write(df.repartition(3 + i), f, shard_bytes=1 << 12, roll_bytes=600).collect() for i, f in enumerate(folders)]
+    assert sorted(manifests[0]) == sorted(manifests[1]) and len({r.shard for r in manifests[0]}) > 1
+    assert max(Counter(r.shard for r in manifests[0]).values()) > 1
+    for row in manifests[0]:  # the same bytes from another layout
+        data = [warc.open_file(f, row.file).read() for f in folders]
+        assert data[0] == data[1] and len(data[0]) == row.bytes
+    got = warc.read_back(spark.read.parquet(f"{folders[0]}/manifest"), folders[0]).drop("url").collect()
+    last = {}
+    for i, _, html, _ in rows:
+        last[html or ""] = max(last.get(html or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, html, _ in rows:
+        payload, final = (html or "").encode(), last[html or ""]
+        want.append((i, len(payload), warc.digest(payload), "response" if i == final else "revisit", None if i == final else final))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert warc.read_back(warc.write(df.limit(0), scratch_path(spark, "none")), "").collect() == []
+
+
+def test_small_payloads_are_not_revisited(spark):
+    df = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, "u", "longer one"), (4, "u", "longer one")], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc")
+    got = {r.page_id: r.refers_to for r in warc.read_back(warc.write(df, folder, min_bytes=6), folder).collect()}
+    assert got == {1: None, 2: None, 3: 4, 4: None}
+
+
+def test_a_damaged_record_is_found():
+    data = warc.record(1, "u", b"payload", None).replace(b"payload", b"payl0ad")
+    with pytest.raises(ValueError, match="damaged"):
+        import io
+
+        [warc._parse(*x) for x in warc.read_records(io.BytesIO(warc._member(data)))]
+
+
+# tokens
+
+
+def test_token_files_round_trip(spark):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(i * 10, t, None, None) for i, t in enumerate(ODD)] + [(5, "in  between.\n\nNext", None, None), (None, "first", None, None), (3, "twice", None, None), (3, "twice", None, None)]
+    rows.append((1000, "long text " * 60_000, None, None))
+    rng.shuffle(rows)
+    folder = scratch_path(spark, "tokens")
+    manifest = tokens.write(docs(spark, rows, "shard int"), folder, tokenizer=path, shard_bytes=64)
+    assert manifest.count() > 2
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_back(manifest, folder).collect())
+    plain, want, start = Tokenizer.from_file(path), [], 0
+    for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        want.append((start, doc_id, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    assert tokens.encode(docs(spark, rows).limit(0)).collect() == []
+
+
+def test_pieces_equal_whole_texts():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    by_piece, whole = tokens.Encoder(path), tokens.Encoder(path)
+    whole.by_piece = False
+    alphabet = ["a", "B", "é", "'s", "'", " ", "  ", "\n", "\t", " ", " ", ".", ",", "!?", "1", "²", "日", "́", "_", "<|endoftext|>", "\x1c", "​"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4)]
+        for a, b in zip(by_piece(texts), whole(texts)):
+            assert a.tolist() == b.tolist(), texts
+
+
+def test_a_full_memory_is_emptied(monkeypatch):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "PIECES", 5)
+    encoder = tokens.Encoder(path)
+    first = encoder(["some words that are more than five pieces"])[0].tolist()
+    encoder(["others", "again here"])
+    assert encoder(["some words that are more than five pieces"])[0].tolist() == first
+
+
+# shards
+
+
+def check_shards(rows, n):
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    sizes = [len(by.get(s, [])) for s in range(n)]
+    assert max(sizes) - min(sizes) <= 1 and set(by) <= set(range(n))
+
+
+def test_shards_are_even_permuted_and_repeatable(spark):
+    rows = [(i, f"text {i} " * 20, None, None) for i in range(900)] + [(i, t, None, None) for i, t in enumerate(ODD)] + [(1, "text 1 " * 20, None, None)] * 40
+    df = docs(spark, rows, "slot int")
+    out = [shuffle.shuffle_to_shards(x, scratch_path(spark, "s"), bucket_bytes=1 << 12) for x in (df, df.repartition(5))]
+    one, two = (sorted((r.doc_id, r.text or "", r.shard, r.slot) for r in x.collect()) for x in out)
+    assert one == two
+    got = out[0].collect()
+    check_shards(got, 24)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r[0], r[1]) for r in rows)
+    order = [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.text and r.text.startswith("text")]
+    ups = np.mean(np.diff(order) > 0)
+    assert 0.4 < ups < 0.6
+    other = shuffle.shuffle_to_shards(df, scratch_path(spark, "s"), seed=12).select("doc_id", "shard", "slot").collect()
+    assert sorted(map(tuple, other), key=str) != sorted(((r.doc_id, r.shard, r.slot) for r in got), key=str)
+
+
+def test_few_or_no_rows_in_shards(spark):
+    df = docs(spark, [(i, None, None, None) for i in range(5)])
+    got = shuffle.shuffle_to_shards(df, scratch_path(spark, "s")).collect()
+    check_shards(got, 24)
+    assert len(got) == 5
+    assert shuffle.shuffle_to_shards(df.limit(0), scratch_path(spark, "s")).collect() == []
+
+
+# mixes
+
+
+def test_weights_meet_entropy_and_repetition():
+    tokens_ = {"a": 9000, "b": 500, "c": 480, None: 20}
+    mix = mixing.solve(tokens_, entropy=0.9, repeats=1000)
+    assert mixing.entropy_share(mix.weights) == pytest.approx(0.9, abs=1e-6)
+    assert sum(mix.weights.values()) == pytest.approx(1)
+    assert all(mix.quotas[s] >= tokens_[s] for s in tokens_)
+    limited = mixing.solve(tokens_, entropy=0.9, repeats=4)
+    assert limited.exponent > mix.exponent
+    assert mixing.most_repeats(tokens_, limited.weights, sum(limited.quotas.values())) == pytest.approx(4, rel=1e-2)
+    assert mixing.solve(tokens_, entropy=0.0).exponent == 1.0
+    assert mixing.solve({}).quotas == {} and mixing.solve({"x": 5, "y": 0}).quotas == {"x": 5}
+
+
+@pytest.mark.parametrize("budget", [None, 3000, 20_000])
+def test_a_mix_meets_its_quotas(spark, budget):
+    rows = [(i, "w " * rng.randint(0, 20), None, rng.choice(["a"] * 8 + ["b", "c", None])) for i in range(600)]
+    rows += [(700, None, None, "a"), (None, "no id", None, "b"), (2000, "long " * 3000, None, "c")]
+    df = docs(spark, rows, "tokens int")
+    drawn, plan = mixing.mix(df, budget=budget, block_tokens=200)
+    got = drawn.select("row.*", F.col("tokens").alias("size"), "pass", "block", "order").collect()
+    totals = Counter()
+    for _, text, _, source in rows:
+        totals[source] += len((text or "").split(" ")) if text else 1
+    totals = {r.source: r.n for r in df.groupBy("source").agg(F.sum(mixing.words()).alias("n")).collect()}
+    for source, quota in plan.quotas.items():
+        mine = [r for r in got if r.source == source]
+        order = sorted(mine, key=lambda r: (r["pass"], r.block, r.order))
+        taken = sum(r["size"] for r in order)
+        assert quota <= taken and taken - order[-1]["size"] < quota
+        passes = Counter((r["pass"], r.doc_id) for r in mine)
+        assert max(passes.values()) == 1
+        whole = quota // totals[source]
+        assert all(sum(p == i for p, _ in passes) == sum(r[3] == source for r in rows) for i in range(whole))
+    again = mixing.mix(df.repartition(7), budget=budget, block_tokens=200)[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, drawn.collect()))
+    out = mixing.resample(df, budget=budget, block_tokens=200)
+    assert out.columns == df.columns and out.count() == len(got)
+
+
+def test_nothing_to_mix(spark):
+    empty = docs(spark, [(1, "x", None, "a")]).limit(0)
+    assert mixing.resample(empty).collect() == []
+    repeated = docs(spark, [(1, "x y", None, "a")] * 5)
+    assert mixing.resample(repeated).count() == 5
