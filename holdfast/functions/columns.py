@@ -37,9 +37,14 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def strip(c: Column | str) -> Column:
+    """Text without white space at its ends: tabs, line ends and no-break blanks too."""
+    return F.regexp_replace(as_column(c), r"(?U)^\s+|\s+$", "")
+
+
 def parse_number(c: Column | str) -> Column:
     """Text to double; anything that is not a number literal becomes NULL."""
-    text = F.lower(F.trim(as_column(c)))
+    text = F.lower(strip(c))
     return nan_to_null(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
 
 

@@ -17,6 +17,11 @@ def test_parse_number_accepts_number_literals_only(spark):
         1.5, 1.5, 2000.0, 0.5, 5.0, -INF, INF, None, None, None, None, None, None, None, 7.0]
 
 
+def test_white_space_of_any_kind_is_stripped(spark):
+    text = ["\t1.5", "2\r\n", "\u00a03\u2003", " 4 5 ", "\n"]
+    assert values(spark, text, X.parse_number("v"), "v string") == [1.5, 2.0, 3.0, None, None]
+
+
 def test_finite(spark):
     assert values(spark, [1.0, None, NAN, INF, -INF], X.is_finite("v")) == [True, False, False, False, False]
     assert values(spark, [1.0, None, NAN, INF], X.finite_or_null("v")) == [1.0, None, None, None]

@@ -33,6 +33,29 @@ def test_encoding_in_the_values(spark, tmp_path):
     assert dict(R.read_csv_any_encoding(spark, p, infer=True).dtypes)["TOC"] == "int"
 
 
+def test_characters_of_cp1252(spark, tmp_path):
+    p = write(tmp_path / "a.csv", "TOC–wt,note\n1,€5 “x”\n".encode("cp1252"))
+    df = R.read_csv_any_encoding(spark, p)
+    assert df.columns == ["TOC–wt", "note"] and tuple(df.first()) == ("1", "€5 “x”")
+
+
+def test_scratch_is_never_on_one_machine_of_a_cluster(spark, monkeypatch):
+    from holdfast import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    monkeypatch.setattr(session, "_home_folder", lambda s: "file:/root/.holdfast")
+    monkeypatch.setattr(session, "_on_one_machine", lambda s, f: f.startswith("file:"))
+    with pytest.raises(ValueError, match="shared"):
+        session.shared_dir(Elsewhere)
+
+
 def test_find_dataset(spark, tmp_path):
     write(tmp_path / "raw.csv", b"x" * 900)
     write(tmp_path / "deep" / "Train_small.csv", b"x")
