@@ -100,14 +100,27 @@ def usable_settings(
     min_rows: int = MIN_ROWS,
 ) -> dict[str, list[str]]:
     """Settings with enough present features and enough valid rows (one pass)."""
+    return split_settings(df, target, settings, min_features, min_rows)[0]
+
+
+def split_settings(
+    df: DataFrame,
+    target: str,
+    settings: Mapping[str, Sequence[str]],
+    min_features: int = MIN_FEATURES,
+    min_rows: int = MIN_ROWS,
+) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Usable settings, and the others with the reason."""
     present = {s: [c for c in cols if c in df.columns] for s, cols in settings.items()}
-    present = {s: cols for s, cols in present.items() if len(cols) >= min_features}
+    skipped = {s: f"{len(cols)} of {min_features} features" for s, cols in present.items() if len(cols) < min_features}
+    present = {s: cols for s, cols in present.items() if s not in skipped}
     if not present:
-        return {}
+        return {}, skipped
     counts = df.agg(
         *[F.count_if(valid_mask(target, cols)).alias(str(i)) for i, cols in enumerate(present.values())]
     ).first()
-    return {s: cols for i, (s, cols) in enumerate(present.items()) if counts[i] >= min_rows}
+    skipped |= {s: f"{counts[i]} of {min_rows} rows" for i, s in enumerate(present) if counts[i] < min_rows}
+    return {s: cols for s, cols in present.items() if s not in skipped}, skipped
 
 
 def rows_by_setting(df: DataFrame, target: str, settings: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -65,9 +65,9 @@ class Fit:
 def fit_together(train: DataFrame, groups: Sequence[str], fits: Sequence[Fit]) -> DataFrame:
     """All fits' parameters per run from one pass over the TRAIN rows.
 
-    Medians of tiny runs take a second look, limited to those runs: their keys
-    (at most one per run of the study) are broadcast, and where there are none
-    the adaptive planner drops that branch.
+    Medians of tiny runs take a second look, limited to those runs. Runs may be
+    as many as the data has groups, so the planner picks the joins; where there
+    is no tiny run the adaptive planner drops that branch.
     """
     groups = list(groups)
     stats = train.groupBy(*groups).agg(*[a for fit in fits for a in fit.aggs])
@@ -75,8 +75,8 @@ def fit_together(train: DataFrame, groups: Sequence[str], fits: Sequence[Fit]) -
     if few is not None:
         tiny = stats.where((F.col("cap_n") > 0) & (F.col("cap_n") < FEW_PAIRS)).select(*groups)
         values = train.select(*groups, few.alias("_few")).where("_few IS NOT NULL")
-        medians = values.join(F.broadcast(tiny), groups).groupBy(*groups).agg(F.percentile("_few", F.lit(0.5)).alias("cap_median"))
-        stats = stats.join(F.broadcast(medians), groups, "left")
+        medians = values.join(tiny, groups).groupBy(*groups).agg(F.percentile("_few", F.lit(0.5)).alias("cap_median"))
+        stats = stats.join(medians, groups, "left")
     return stats.select(*groups, *[c.alias(name) for fit in fits for name, c in fit.params.items()])
 
 
@@ -122,6 +122,7 @@ def line_and_cap(y: str, s2: str, cfg: LineConstraint = LineConstraint()) -> Fit
             "lambda_s2": F.lit(cfg.lambda_s2),
             "eps": F.lit(cfg.eps),
             "n_pairs": F.col("cap_n"),
+            "fit_status": F.when(F.col("cap_n") == 0, "no_pairs").when(few, "median_of_few").when(a < 0, "slope_raised_to_0").otherwise("fitted"),
         },
         few=yy,
     )

@@ -96,7 +96,8 @@ def residual_histogram(
 ) -> DataFrame:
     """Counts of ``y - pred`` in equal-width bins over [min, max] per group.
 
-    Also ``bin_low, bin_high``. The largest residual belongs to the last bin; a
+    Reads its input twice (range, then counts): give it a stored table. Also
+    ``bin_low, bin_high``. The largest residual belongs to the last bin; a
     group with one distinct residual gets the unit-wide range around it.
     """
     groups = list(groups)
@@ -110,7 +111,7 @@ def residual_histogram(
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (
-        rows.join(F.broadcast(spans), groups)
+        rows.join(spans, groups)
         .withColumn("bin", F.least(F.width_bucket("_r", "_lo", "_hi", F.lit(bins)), F.lit(bins).cast("bigint")))
         .groupBy(*groups, "bin", "_lo", "_hi")
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -142,6 +143,27 @@ def join_predictions(
     return left.join(full.select(*keys, F.col(pred).alias("y_full")), keys)
 
 
+def pair_settings(
+    rows: DataFrame,
+    base: str,
+    full: str,
+    keys: Sequence[str] = ("seed", "sample_id"),
+    pred: str = "y_pred",
+    setting: str = "setting",
+) -> DataFrame:
+    """``join_predictions`` of two settings that stand in one table: one scan, one shuffle.
+
+    A row's key must be unique within a setting.
+    """
+    of = lambda name, column: F.max(F.when(F.col(setting) == name, F.col(column)))
+    there = lambda name: F.count_if(F.col(setting) == name) > 0
+    paired = rows.where(F.col(setting).isin(base, full)).groupBy(*keys).agg(
+        of(base, "y_true").alias("y_true"), of(base, pred).alias("y_base"), of(full, pred).alias("y_full"),
+        (there(base) & there(full)).alias("_both"),
+    )
+    return paired.where("_both").drop("_both")
+
+
 def accept_if_better(
     rows: DataFrame,
     val_metrics: DataFrame,

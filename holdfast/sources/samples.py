@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 LOG_ROLES = {"AC": "ac", "GR": "gr", "K": "k", "TH": "th", "U": "u", "RD": "rd", "RS": "rs", "TOC": "toc"}
 
 
-def samples(spark: SparkSession, sf_dir: str, *, cache: bool = True) -> DataFrame:
-    """Kept in memory and on disk, since a study scans it several times; a lost
-    block is recomputed from the tables."""
+def samples(spark: SparkSession, sf_dir: str, *, cache: bool = False) -> DataFrame:
+    """``cache`` keeps it in memory and on disk for a caller that scans it often and
+    releases it (``unpersist``); a lost block is recomputed from the tables."""
     # known schemas: no job to infer them, and scans read these columns only
     orders = spark.read.schema("o_orderkey bigint, o_totalprice double").parquet(f"{sf_dir}/orders.parquet")
     lines = spark.read.schema(

@@ -48,6 +48,22 @@ def test_multi_basin_study(spark, logs, tmp_path_factory):
     assert GBTRegressionModel.load(f"{out}/models/best_Full").numFeatures == 12
     log = r.run_log.collect()
     assert len(log) == 4 and log[0]["metrics"]["base"]["r2_test"] is not None and log[0]["n_val"] > 0
+    assert all(x["metrics_val"]["full"]["r2_val"] is not None and x["study"]["target"] == "TOC" for x in log)
+    assert {x["setting"]: x["study"]["refinement"] for x in log} == {"Full": "True", "NoRes": "False"}
+    import os
+
+    assert not [n for n in os.listdir(f"{out}/work") if n.startswith(("block", "held"))]
+
+
+def test_missing_and_infinite_logs_do_not_end_a_study(spark, sample_table):
+    raw = sample_table.select("sample_id", "ac", "gr", "k", "th", "u", "toc",
+                              F.when(F.col("sample_id") % 5 == 0, -1.0).otherwise(F.col("rd")).alias("rd"),
+                              F.when(F.col("sample_id") % 7 == 0, float("inf")).otherwise(F.col("rs")).alias("rs"))
+    p = h.prepare_multi_basin(raw)
+    for external in (True, False):
+        cfg = h.multi_basin(p.settings, n_repeats=1, target=p.target, use_external_booster=external, use_refinement=False)
+        r = h.run_ablation(p.table, cfg.but(booster=replace(cfg.booster, max_iter=2)))
+        assert {x["setting"] for x in r.summary.collect()} == {"Full", "NoRes"}
 
 
 def test_resume_adds_seeds(spark, logs, tmp_path_factory):
@@ -57,6 +73,9 @@ def test_resume_adds_seeds(spark, logs, tmp_path_factory):
     r = h.run_ablation(logs.table, base.but(seeds=[1]), out)
     assert {x["seed"] for x in spark.read.parquet(f"{out}/predictions").select("seed").distinct().collect()} == {0, 1}
     assert {x["seed"] for x in r.predictions.select("seed").distinct().collect()} == {1}
+    both = h.run_ablation(logs.table, base.but(seeds=[0, 1, 3]), out, resume=True)
+    assert {x["seed"] for x in both.metrics.select("seed").distinct().collect()} == {0, 1, 3}
+    assert {run.seed for run in both.best_runs.values()} == {3}
     h.run_ablation(logs.table, base.but(seeds=[2]), out, clean_outputs=True)
     assert {x["seed"] for x in spark.read.parquet(f"{out}/predictions").select("seed").distinct().collect()} == {2}
 
@@ -123,6 +142,7 @@ def test_no_usable_setting_gives_empty_tables(spark):
                                    F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("s2"))
     cfg = h.pyrolysis_hi({"x": ["a", "s2"]}, seeds_max=20, target="toc", s2_col="s2", booster=TINY)
     r = h.run_ablation(table, cfg)
+    assert {(x["setting"], x["reason"]) for x in r.skipped.collect()} == {("x", "0 of 25 rows")}
     assert r.predictions.count() == 0 and r.best_of_best.count() == 0 and r.summary.count() == 0 and r.deltas.count() == 0
 
 
