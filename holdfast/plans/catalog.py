@@ -29,14 +29,21 @@ from holdfast.plans.prepare import prepare_log_pyrolysis, prepare_multi_basin, p
 from holdfast.plans.study import run_ablation
 from holdfast.session import land, scratch_path
 from holdfast.sources import sinks as W
-from holdfast.sources.readers import read_predictions
-from holdfast.sources.samples import LOG_ROLES, samples
+from holdfast.sources.readers import read_csv, read_csv_any_encoding, read_predictions, trim_headers
+from holdfast.sources.samples import LOG_ROLES
+from holdfast.sources.samples import samples as scan_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample table, kept for the session: dozens of queries here scan it."""
+    return scan_samples(spark, sf, cache=True)
+
+
 SEEDS = P.seed_schedule(10)
 TEST_SIZE, VAL_SIZE = 0.2, 0.15
 
@@ -379,7 +386,7 @@ def seed_fan_out(spark, sf):
  round(greatest(max(toc)*1.1,1),8) AS toc_max, CAST(0.15 AS DOUBLE) AS lambda_s2, count(*) AS n_pairs FROM split WHERE split='train' GROUP BY seed""")
 def constraint_linear_fit(spark, sf):
     train = train_of(two_way(spark, sf, "toc", "s2"))
-    return rounded(K.fit_together(train, ["seed"], [K.line_and_cap("toc", "s2")]).drop("eps"), toc_max=8)
+    return rounded(K.fit_together(train, ["seed"], [K.line_and_cap("toc", "s2")]).drop("eps", "fit_status"), toc_max=8)
 
 
 @query(f"""WITH {SAMPLES}, g AS (SELECT CAST(floor(ac*10) AS BIGINT) AS cell, count(*) AS n, quantile_cont(toc,CAST(0.5 AS DOUBLE)) AS med,
@@ -537,7 +544,9 @@ def setting_diff(spark, sf):
  SELECT setting, CAST(least(floor((r-lo)/(hi-lo)*20)+1,20) AS BIGINT) AS bin, round(lo+(hi-lo)/20*(least(floor((r-lo)/(hi-lo)*20)+1,20)-1),6) AS bin_low,
  round(lo+(hi-lo)/20*least(floor((r-lo)/(hi-lo)*20)+1,20),6) AS bin_high, count(*) AS rows FROM e JOIN m USING (setting) GROUP BY setting, bin, bin_low, bin_high""")
 def residual_hist(spark, sf):
-    return rounded(A.residual_histogram(line_predictions(spark, sf), ["setting"], "y_true", "y_full"))
+    """Over stored predictions: the operator reads them twice."""
+    stored = land(line_predictions(spark, sf).select("setting", "y_true", "y_full"), scratch_path(spark, "residuals"))
+    return rounded(A.residual_histogram(stored, ["setting"], "y_true", "y_full"))
 
 
 @query(f"""WITH {PRED} SELECT setting, seed, round(least(min(y_true),min(y_full)),6) AS line_min, round(greatest(max(y_true),max(y_full)),6) AS line_max,
@@ -560,7 +569,7 @@ _PAIRS = """, pairs AS (SELECT a.seed, a.sample_id, a.y_true, a.y_full AS y_base
 
 
 def pairs(rows: DataFrame) -> DataFrame:
-    return A.join_predictions(rows.where(F.col("setting") == "NoRes"), rows.where(F.col("setting") == "Full"), pred="y_full")
+    return A.pair_settings(rows, "NoRes", "Full", pred="y_full")
 
 
 @query(f"WITH {PRED} {_PAIRS} SELECT seed, sample_id, y_true, round(y_base,6) AS y_base, round(y_full,6) AS y_full FROM pairs")
@@ -631,7 +640,17 @@ def plot_bundle(spark, sf):
 # ------------------------------------------------- trees and networks, no SQL
 
 
-SMALL = M.Booster(max_depth=4, max_iter=8, max_bins=64)
+# Boosters and networks of the presets in all but their length: a preset fit of 500 trees is over
+# ten minutes here on one machine, a preset study some hundred of them. Both are parameters.
+TREES = 20
+STUDY_TREES = 5
+EPOCHS = 20
+
+
+def shorter(booster: M.Booster, trees: int = TREES) -> M.Booster:
+    return replace(booster, max_iter=trees)
+
+
 LOG_FEATURES = ["ac", "gr", "k", "th", "u", "rd", "rs"]
 PYROLYSIS = ["s1", "s2", "s3", "tmax"]
 
@@ -650,38 +669,36 @@ def held_out_by(spark, sf, booster: M.Booster, features, table: DataFrame | None
 @query()
 def gbt_log(spark, sf):
     """Log-target trees on the well-log features: metrics on TEST."""
-    rows, _ = held_out_by(spark, sf, SMALL, LOG_FEATURES)
+    rows, _ = held_out_by(spark, sf, shorter(M.LOG_BOOSTER), LOG_FEATURES)
     return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
 
 
 @query()
 def gbt_raw(spark, sf):
     """Raw-target trees: TEST predictions."""
-    rows, _ = held_out_by(spark, sf, replace(SMALL, log_target=False), PYROLYSIS)
+    rows, _ = held_out_by(spark, sf, shorter(M.RAW_BOOSTER), PYROLYSIS)
     return rows
 
 
 @query()
 def gbt_earlystop(spark, sf):
     """Trees with missing values and a patience rule: metrics on TEST."""
-    booster = replace(SMALL, missing="encode", stopping="patience", patience=3, validation_fraction=0.15)
     table = C.keep_finite(dirty(spark, sf), ["toc"])
-    rows, _ = held_out_by(spark, sf, booster, PYROLYSIS, table)
+    rows, _ = held_out_by(spark, sf, shorter(M.EARLY_STOP_BOOSTER), PYROLYSIS, table)
     return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
 
 
 @query()
 def gbt_subsampled(spark, sf):
     """Row and column subsampling: TEST predictions."""
-    booster = replace(SMALL, step_size=0.3, min_rows=1, subsample=0.8, feature_share="0.8")
-    rows, _ = held_out_by(spark, sf, booster, LOG_FEATURES)
+    rows, _ = held_out_by(spark, sf, shorter(M.SUBSAMPLED_BOOSTER), LOG_FEATURES)
     return rows
 
 
 @query()
 def gbt_importance(spark, sf):
     """Feature importance of a fitted run, largest first."""
-    _, run = held_out_by(spark, sf, SMALL, LOG_FEATURES)
+    _, run = held_out_by(spark, sf, shorter(M.LOG_BOOSTER), LOG_FEATURES)
     return M.feature_importance(spark, [run])
 
 
@@ -702,7 +719,7 @@ def trained_networks(spark, sf):
             F.transform("_in", lambda e: e["seed"]).alias("runs"),
             F.transform("_in", lambda e: X.floor_at_zero(line[e["seed"]]["a"] * F.col("depth") + line[e["seed"]]["b"])).alias("y_bases"))
 
-    weights, _ = N.train_networks(part(P.TRAIN), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=6))
+    weights, _ = N.train_networks(part(P.TRAIN), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=EPOCHS))
     return part(P.TEST), weights
 
 
@@ -722,12 +739,18 @@ def monotone_violation(spark, sf):
     return N.monotone_violation(test, weights, [(0, 1), (1, 1)])
 
 
+def short_study(cfg):
+    refine = cfg.refine and replace(cfg.refine, epochs=EPOCHS)
+    return cfg.but(booster=shorter(cfg.booster, STUDY_TREES), refine=refine)
+
+
 @query()
 def study_multi_basin(spark, sf):
     """A whole study: Full against NoRes, network gated on VAL."""
     p = prepare_multi_basin(samples(spark, sf).select("sample_id", *LOG_FEATURES, "toc"))
-    cfg = multi_basin(p.settings, n_repeats=2, target=p.target, use_external_booster=False, booster=replace(SMALL, max_iter=3))
-    return run_ablation(p.table, cfg.but(refine=replace(cfg.refine, epochs=3))).summary
+    cfg = multi_basin(p.settings, n_repeats=2, target=p.target, use_external_booster=False)
+    cfg = short_study(cfg)
+    return run_ablation(p.table, cfg).summary
 
 
 @query()
@@ -735,8 +758,8 @@ def study_log_pyrolysis(spark, sf):
     """A whole study: soft line and cap on the RockEval setting."""
     raw = samples(spark, sf).select("sample_id", F.col("toc").alias("TOC"), *[F.col(c).alias(c.capitalize()) for c in PYROLYSIS])
     p = prepare_log_pyrolysis(raw)
-    cfg = log_pyrolysis(p.settings, n_repeats=2, target=p.target, s2_col=p.roles["S2"],
-                        booster=replace(SMALL, max_iter=3, missing="encode"))
+    cfg = log_pyrolysis(p.settings, n_repeats=2, target=p.target, s2_col=p.roles["S2"])
+    cfg = short_study(cfg)
     return run_ablation(p.table, cfg).summary
 
 
@@ -747,6 +770,136 @@ def study_pyrolysis_hi(spark, sf):
         "sample_id", F.col("toc").alias("TOC (wt%)"), F.col("s2").alias("S2 (mg HC/g)"), F.col("s1").alias("S1"),
         F.col("tmax").alias("Tmax"), F.col("depth").alias("Depth"), D.hydrogen_index("s2", "toc").alias("HI"))
     p = standard_names(prepare_pyrolysis_hi(raw))
-    cfg = pyrolysis_hi(p.settings, seeds_step=20, seeds_max=40, target=p.target, s2_col=p.roles["S2"], hi_col=p.roles["HI"],
-                       booster=replace(SMALL, max_iter=3, log_target=False), use_refinement=False)
+    cfg = pyrolysis_hi(p.settings, seeds_step=20, seeds_max=40, target=p.target, s2_col=p.roles["S2"], hi_col=p.roles["HI"])
+    cfg = short_study(cfg)
     return run_ablation(p.table, cfg).best_of_best
+
+
+@query()
+def study_missing_features(spark, sf):
+    """The multi-basin study over a table whose logs are partly missing or infinite after log1p."""
+    raw = dirty(spark, sf).select("sample_id", *LOG_FEATURES, "toc")
+    raw = raw.withColumn("rs", F.when(F.col("sample_id") % 43 == 0, F.lit(float("inf"))).otherwise(F.col("rs")))
+    p = prepare_multi_basin(raw)
+    cfg = multi_basin(p.settings, n_repeats=1, target=p.target, use_refinement=False)
+    return run_ablation(p.table, short_study(cfg)).summary
+
+
+# ----------------------------------------------- scans, roles and written files
+
+FUZZY = {"ac": "Sonic DT", "gr": "Gamma Ray", "k": "Potassium", "th": "Thorium", "u": " U", "rd": "ResDeep",
+         "rs": "ResShallow", "toc": "TOC (%)"}
+
+
+def renamed(spark: SparkSession, sf: str, names: dict[str, str]) -> DataFrame:
+    return samples(spark, sf).select("sample_id", *[F.col(c).alias(n) for c, n in names.items()])
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, round(toc,6) AS toc, round(s2,6) AS s2 FROM samples")
+def csv_scan(spark, sf):
+    """Written with blanks around the headers, scanned back as text, trimmed and parsed."""
+    path = scratch_path(spark, "csv")
+    renamed(spark, sf, {"toc": " toc ", "s2": "s2 "}).write.option("header", True).csv(path)
+    back = trim_headers(read_csv(spark, path))
+    back = C.coerce_numeric(back, ["toc", "s2"]).withColumn("sample_id", F.col("sample_id").cast("bigint"))
+    return rounded(back)
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, concat('TOC \u2013 ', CAST(CAST(tmax AS BIGINT) AS VARCHAR), ' \u20ac \u00b0') AS note FROM samples")
+def csv_encoding_fallback(spark, sf):
+    """A cp1252 export: dash, euro and degree signs survive the scan."""
+    path = scratch_path(spark, "cp1252")
+    # as bytes: 0x96 and 0x80, which ISO-8859-1 has as control characters
+    note = F.concat(F.lit("TOC \u0096 "), F.col("tmax").cast("bigint").cast("string"), F.lit(" \u0080 \u00b0"))
+    samples(spark, sf).select("sample_id", note.alias("note")).write.options(header=True, encoding="iso-8859-1").csv(path)
+    back = read_csv_any_encoding(spark, path)
+    return back.select(F.col("sample_id").cast("bigint").alias("sample_id"), "note")
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, ac AS "AC", gr AS "GR", k AS "K", th AS "TH", u AS "U", rd AS "RD", rs AS "RS", toc AS "TOC" FROM samples""")
+def roles_fuzzy(spark, sf):
+    """Headers that hold an alias: the resolved columns under their roles' names."""
+    df = renamed(spark, sf, FUZZY)
+    return C.prune(df, R.resolve_fuzzy([c for c in df.columns if c != "sample_id"]), keep=["sample_id"])
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, toc AS "TOC", s2 AS "S2", s1 AS "HI" FROM samples""")
+def roles_normalised(spark, sf):
+    """Headers equal to an alias but for case and punctuation; of two the last is meant."""
+    df = samples(spark, sf).select("sample_id", F.col("s3").alias("s2-MGHC/gRock"), F.col("s2").alias("S2_mgHC_gRock"),
+                                   F.col("toc").alias("toc wt pct"), F.col("s1").alias("Hydrogen-Index"))
+    return C.prune(df, R.resolve_normalised(df.columns), keep=["sample_id"])
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, toc AS "TOC", s1 AS "S1", s2 AS "S2", tmax AS "TMAX", depth AS "DEPTH" FROM samples""")
+def roles_literal(spark, sf):
+    """Headers that must stand as listed; earlier names win, absent roles are left out."""
+    df = renamed(spark, sf, {"toc": "TOC (wt%)", "s1": "S1 (mgHC/gRock)", "s2": "S2 (mg HC/g)", "s3": "S2", "tmax": "TMAX (°C)", "depth": "Depth (m)"})
+    return C.prune(df, R.resolve_literal(df.columns), keep=["sample_id"])
+
+
+def sums_of(df: DataFrame, settings: dict[str, list[str]]) -> DataFrame:
+    """Each setting's features added up per sample: which columns a setting holds, over the data."""
+    total = lambda cols: sum((C.quoted(c) for c in cols), F.lit(0.0))
+    entries = [F.struct(F.lit(s).alias("setting"), F.lit(len(c)).cast("bigint").alias("features"), total(c).alias("total")) for s, c in settings.items()]
+    return rounded(df.select("sample_id", F.explode(F.array(*entries)).alias("e")).select("sample_id", "e.*"))
+
+
+@query(f"""WITH {SAMPLES}, f AS (SELECT sample_id, s1+s2+s3+tmax AS rock, gr+rd+rs+ac AS logs FROM samples)
+ SELECT sample_id, 'RockEval' AS setting, CAST(4 AS BIGINT) AS features, round(rock,6) AS total FROM f
+ UNION ALL SELECT sample_id, 'Logs', CAST(4 AS BIGINT), round(logs,6) FROM f
+ UNION ALL SELECT sample_id, 'Fusion', CAST(8 AS BIGINT), round(rock+logs,6) FROM f""")
+def settings_log_pyrolysis(spark, sf):
+    """Feature sets by candidates, without columns that leak the target (HI, depth per TOC)."""
+    names = {"toc": "TOC", "s1": "S1", "s2": "S2", "s3": "S3", "tmax": "TMAX", "gr": "GR", "rd": "RD", "rs": "RS", "ac": "AC", "k": "HI", "depth": "per_toc"}
+    df = renamed(spark, sf, names)
+    return sums_of(df, R.log_pyrolysis_settings(df, "TOC", id_col="sample_id"))
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, 'P_RockEval' AS setting, CAST(4 AS BIGINT) AS features, round(s1+s2+tmax+depth,6) AS total FROM samples
+ UNION ALL SELECT sample_id, 'P_GeoFusion', CAST(6 AS BIGINT), round(s1+s2+tmax+depth+k+u,6) FROM samples""")
+def settings_pyrolysis_hi(spark, sf):
+    """Feature sets by roles, with the two ratios added in the wider one."""
+    df = renamed(spark, sf, {"toc": "TOC", "s1": "S1", "s2": "S2", "tmax": "Tmax", "depth": "Depth", "k": "HI", "u": "OI", "gr": "GR"})
+    return sums_of(df, R.pyrolysis_hi_settings(df, R.resolve_literal(df.columns), prefix="P_", id_col="sample_id"))
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, 'RockEval' AS setting, CAST(3 AS BIGINT) AS features, round(s1+s3+tmax,6) AS total FROM samples
+ UNION ALL SELECT sample_id, 'GeoFusion', CAST(5 AS BIGINT), round(s1+s3+tmax+depth+k,6) FROM samples""")
+def settings_stand_ins(spark, sf):
+    """Without the roles, the first numeric columns stand in, up to two stated widths."""
+    df = renamed(spark, sf, {"s1": "a", "s3": "b", "tmax": "c", "depth": "d", "k": "e", "u": "f", "toc": "TOC"})
+    roles = {"TOC": "TOC"}
+    wide = R.pyrolysis_hi_settings(df, roles, id_col="sample_id", rock_stand_ins=3, fusion_stand_ins=5)
+    return sums_of(df, wide)
+
+
+@query(f"""WITH {SAMPLES}, d AS (SELECT sample_id, gr, u, ln(1+rd) AS a, ln(1+rs) AS b, u/(th+CAST(0.000001 AS DOUBLE)) AS q FROM samples)
+ SELECT sample_id, 'Full' AS setting, CAST(5 AS BIGINT) AS features, round(gr+u+a+b+q,6) AS total FROM d
+ UNION ALL SELECT sample_id, 'NoRes', CAST(3 AS BIGINT), round(gr+u+q,6) FROM d""")
+def settings_rising(spark, sf):
+    """The features of the two fixed settings that the target should rise with."""
+    df = samples(spark, sf).select("sample_id", *[F.col(c).alias(c.upper()) for c in LOG_FEATURES])
+    df = D.add_ratio_features(D.add_log_features(df))
+    settings = R.restrict_settings(R.log_study_settings(), ["Full", "NoRes"])
+    return sums_of(df, {s: [cols[i] for i, _ in R.rising_features(cols)] for s, cols in settings.items()})
+
+
+@query(f"WITH {METRICS} SELECT setting, seed, round(r2_base,6) AS r2_base, round(r2_full,6) AS r2_full FROM delta")
+def report_files(spark, sf):
+    """The per-seed report as written, read back from its file."""
+    path = scratch_path(spark, "report")
+    W.write_report(S.delta_between_modes(run_metrics(spark, sf)).select("setting", "seed", "r2_base", "r2_full"), path)
+    back = spark.read.option("header", True).schema("setting string, seed int, r2_base double, r2_full double").csv(path)
+    return rounded(back)
+
+
+@query(f"WITH {PRED} SELECT setting, seed, count(*) AS n FROM pred WHERE seed = 3 GROUP BY setting, seed")
+def stale_outputs(spark, sf):
+    """A clean write drops the runs of an earlier one."""
+    path = scratch_path(spark, "stale")
+    rows = line_predictions(spark, sf).withColumn("refined_accepted", F.lit(False))
+    rows = rows.select("sample_id", "y_true", "y_base", "y_full", "refined_accepted", "setting", "seed")
+    W.write_predictions(rows, path)
+    W.write_predictions(rows.where("seed = 3"), path, clean=True)
+    return read_predictions(spark, path).groupBy("setting", "seed").agg(F.count(F.lit(1)).alias("n"))
