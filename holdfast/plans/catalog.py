@@ -787,7 +787,7 @@ def study_missing_features(spark, sf):
 
 # ----------------------------------------------- scans, roles and written files
 
-FUZZY = {"ac": "Sonic DT", "gr": "Gamma Ray", "k": "Potassium", "th": "Thorium", "u": " U", "rd": "ResDeep",
+FUZZY = {"u": "U (ppm)", "ac": "Sonic DT", "gr": "Gamma Ray", "k": "Potassium", "th": "Thorium", "rd": "ResDeep",
          "rs": "ResShallow", "toc": "TOC (%)"}
 
 
