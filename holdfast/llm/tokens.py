@@ -22,6 +22,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,10 @@ _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"  # letters beyond doubt; what follo
 _PIECE = re.compile(
     f" ?[{_LATIN}]+(?=[{_BLANKS}.,;:!?]|\\Z)| ?[^{_BLANKS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+"
 )
+_LETTERS = re.compile(f" ?[{_LATIN}]+").fullmatch
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves
+_AS_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+_BLANK = chr(_AS_CHARACTERS[ord(" ")])
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
@@ -89,6 +94,25 @@ class Encoder:
         self.places = _Places()
         self.flat, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _encode(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. A piece of letters is one word, which the library's model takes as it is."""
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        out: list = [None] * len(pieces)
+        for i, piece in enumerate(pieces):
+            if _LETTERS(piece):
+                if not piece.isascii():
+                    piece = piece.encode().decode("latin-1").translate(_AS_CHARACTERS)
+                out[i] = [t.id for t in tokenize(piece.replace(" ", _BLANK))]
+            else:
+                rest.append(i)
+        if rest:
+            found = self.tokenizer.encode([pieces[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(rest))).tolist()
+            ids, low = found.ids, 0
+            for i, high in zip(rest, ends):
+                out[i], low = ids[low:high], high
+        return out
+
     def _place(self, pieces: list[str]) -> np.ndarray:
         """Place of each piece in the memory; new pieces are encoded."""
         if len(self.places) > PIECES:
@@ -96,10 +120,10 @@ class Encoder:
         out = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
         fresh, self.places.fresh = self.places.fresh, []
         if fresh:
-            found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            sizes = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(fresh))
+            ids = self._encode(fresh)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.array(found.ids, dtype=np.uint32)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
