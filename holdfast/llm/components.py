@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from holdfast.session import drop, land, scratch_path
 
+SALTS = 8
+
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(id, label) of every end of the links (a, b); label: the smallest id reachable.
@@ -35,8 +37,12 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         told = heard.groupBy(F.col("label").alias("id")).agg(F.min("least").alias("told"))
         near = heard.select("id", F.least("label", "least").alias("near")).join(told, "id", "left")
         near = near.select("id", F.least("near", F.coalesce("told", "near")).alias("near"))
-        far = near.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        after = near.join(far, "near", "left").select("id", F.least("near", F.coalesce("far", "near")).alias("label"))
+        # a label may be shared by any part of the nodes: its look-up is spread over salts
+        salted = near.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        far = near.filter("near < id").select(F.col("id").alias("near"), F.col("near").alias("far"))
+        far = far.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        after = salted.join(far, ["near", "salt"], "left")
+        after = after.select("id", F.least("near", F.coalesce("far", "near")).alias("label"))
         next_path = scratch_path(spark, "labels")
         after = land(after, next_path)
         old = labels.select("id", F.col("label").alias("old"))
