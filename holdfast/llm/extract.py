@@ -1,8 +1,10 @@
 """Main text of web pages by block rules in two passes.
 
 A page becomes blocks: runs of text between block-level tags, outside scripts,
-styles and containers that say by tag, role, class or id that they are not the
-article. Pass one looks at each block alone: a high share of links is bad, a
+styles and containers that say by tag, role or style that they are not the
+article. A class or id is a hint only: an article inside is free of it, inside an
+article it counts for what holds no good block, and where nothing good would be
+left it does not count. Pass one looks at each block alone: a high share of links is bad, a
 good length with a good share of stop words is good, all else is open. Pass two
 gives every open block the label of the nearest decided block of its region (the
 article where the page marks one, the page else); without any, it stays in.
@@ -38,6 +40,11 @@ OUTSIDE_WORDS = frozenset(
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget widgets".split()
 )
+LAYOUT_WORDS = frozenset(  # a name with one of them tells what the page looks like, or its subject
+    "body category closed content disabled enabled fixed format has is layout main no off on open opened page site status tag "
+    "type with without wrap wrapped wrapper".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its not of on or that the their there they this to was were which with you "
     "aber als am auch auf aus bei das dem den der des die ein eine einen er es für hat ich im ist mit nach nicht oder sich sie sind "
@@ -68,6 +75,7 @@ class Block:
     text: str
     linked: int  # characters inside links
     article: bool
+    hint: int = 0  # number of the element whose class or id says it is not the article; 0 without
 
 
 @dataclass
@@ -75,11 +83,13 @@ class _Page:
     """State of one pass over a page's tags."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool, bool]] = field(default_factory=list)  # tag, outside, article
+    stack: list[tuple[str, bool, bool, int]] = field(default_factory=list)  # tag, outside, article, hint
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
     block_outside: bool = False  # the tag that opened this block says it is not the article
+    block_hint: int = 0
+    hints: int = 0
 
     @property
     def outside(self) -> bool:
@@ -89,6 +99,10 @@ class _Page:
     def article(self) -> bool:
         return bool(self.stack and self.stack[-1][2])
 
+    @property
+    def hint(self) -> int:
+        return self.stack[-1][3] if self.stack else 0
+
     def text(self, raw: str) -> None:
         if not self.outside:
             raw = unescape(raw)
@@ -99,40 +113,43 @@ class _Page:
     def close(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.article))
-        self.parts, self.linked, self.block_outside = [], 0, False
+            self.blocks.append(Block(text, self.linked, self.article, self.hint or self.block_hint))
+        self.parts, self.linked, self.block_outside, self.block_hint = [], 0, False, 0
 
     def open_tag(self, tag: str, attributes: str) -> None:
-        outside, article = self._says(tag, attributes)
+        outside, article, named = self._says(tag, attributes)
+        self.hints += named
         if tag in CONTAINERS:
-            if outside != self.outside or article != self.article:
+            hint = 0 if article and not self.article else self.hint or self.hints * named
+            if outside != self.outside or article != self.article or hint != self.hint:
                 self.close()
-            self.stack.append((tag, outside or self.outside, article or self.article))
-        elif outside and tag in BLOCK_TAGS:
-            self.block_outside = True
+            self.stack.append((tag, outside or self.outside, article or self.article, hint))
+        elif tag in BLOCK_TAGS:
+            self.block_outside, self.block_hint = outside, self.hints * named
 
     def close_tag(self, tag: str) -> None:
-        if tag in CONTAINERS and any(t == tag for t, _, _ in self.stack):
+        if tag in CONTAINERS and any(t == tag for t, *_ in self.stack):
             while True:
                 if self.stack.pop()[0] == tag:
                     break
 
-    def _says(self, tag: str, attributes: str) -> tuple[bool, bool]:
-        """Whether a tag opens something outside the article, and whether the article."""
+    def _says(self, tag: str, attributes: str) -> tuple[bool, bool, bool]:
+        """Whether a tag opens something outside the article, whether the article, and whether its names hint at the outside."""
         article = tag in ("article", "main")
-        outside = tag in OUTSIDE_TAGS or (tag == "header" and not self.article)
+        outside, hinted = tag in OUTSIDE_TAGS or (tag == "header" and not self.article), False
         if attributes and not attributes.isspace():
             values = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(attributes)}
             roles = values.get("role", "").lower().split()
             article = article or "main" in roles or "article" in roles
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true"
             hidden = hidden or bool(_HIDDEN.search(values.get("style", "")))
-            named = _NAME_WORD.findall(f"{values.get('class', '')} {values.get('id', '')}".lower())
             if tag not in ("html", "body", "main", "article"):
-                outside = outside or not OUTSIDE_WORDS.isdisjoint(named)
+                if tag not in HEADINGS and not article:
+                    names = [_NAME_WORD.findall(x) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
+                    hinted = any(not OUTSIDE_WORDS.isdisjoint(x) and LAYOUT_WORDS.isdisjoint(x) for x in names)
                 outside = outside or (not article and not OUTSIDE_ROLES.isdisjoint(roles))
             outside = outside or hidden
-        return outside, article
+        return outside, article, hinted
 
 
 def blocks(html: str) -> list[Block]:
@@ -198,8 +215,18 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def unhinted(found: list[Block], labels: list[bool | None]) -> list[Block]:
+    """Blocks that no name takes away: in an article, elements with a good block stay; elsewhere none does, if a good one is left."""
+    content = {b.hint for b, label in zip(found, labels) if b.article and label}
+    kept = [not b.hint or (b.article and b.hint in content) for b in found]
+    if not any(k and (label or b.article) for b, label, k in zip(found, labels, kept)) and True in labels:
+        return found
+    return [b for b, k in zip(found, kept) if k]
+
+
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
+    found = unhinted(found, [first_pass(b) for b in found])
     region = [b for b in found if b.article] or found
     kept = second_pass([first_pass(b) for b in region])
     return "\n".join(b.text for b, good in zip(region, kept) if good)

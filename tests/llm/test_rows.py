@@ -82,6 +82,23 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{PROSE}</p></article></div>", PROSE.strip()),
+        (f"<div class=sidebar><article><p>{PROSE}</p></article></div>", PROSE.strip()),
+        (f"<div id=comments><div role=main><p>{PROSE}</p></div></div>", PROSE.strip()),
+        *[(f"<div class='{name}'><p>{PROSE}</p><p>end</p></div><p>{PROSE}</p>", f"{PROSE.strip()}\nend\n{PROSE.strip()}") for name in ("has-sidebar", "no-sidebar", "modal-open", "x nav-fixed")],
+        (f"<div class=widget><p>{PROSE}</p><p>end</p></div><p>short</p>", f"{PROSE.strip()}\nend\nshort"),
+        (f"<article><p>{PROSE}</p><section id=related-work><h2 id=menu>Related</h2><p>{PROSE}</p><p>end</p></section></article>", f"{PROSE.strip()}\nRelated\n{PROSE.strip()}\nend"),
+        (f"<article><p>{PROSE}</p><h2 id=menu>Menu</h2><div class=ad>buy</div><p class=share>tell</p>fin</article>", f"{PROSE.strip()}\nMenu\nfin"),
+        (f"<div class=sidebar><nav>x</nav><p>{PROSE}</p></div><article><p>{PROSE}</p></article>", PROSE.strip()),
+    ],
+)
+def test_names_are_hints(html, text):
+    assert extract.main_text(html) == text
+
+
 def test_open_blocks_take_the_nearest_label():
     assert extract.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert extract.second_pass([True, None, False]) == [True, True, False]
