@@ -4,9 +4,11 @@ A page becomes blocks: runs of text between block-level tags, outside scripts,
 styles and containers that say by tag, role or style that they are not the
 article. A class or id is a hint only: an article inside is free of it, inside an
 article it counts for what holds no good block, and where nothing good would be
-left it does not count. Pass one looks at each block alone: a high share of links is bad, a
-good length with a good share of stop words is good, all else is open. Pass two
-gives every open block the label of the nearest decided block of its region (the
+left it does not count. Pass one looks at each block alone: a high share of links
+is bad, a good length with a good share of stop words or with few links is good, all
+else is open. The stop words are those of four languages; on a page that hardly has
+any, a shorter length with few links is enough. Their absence never makes a block
+bad. Pass two gives every open block the label of the nearest decided block of its region (the
 article where the page marks one, the page else); without any, it stays in.
 """
 
@@ -50,11 +52,13 @@ STOP_WORDS = frozenset(
     "aber als am auch auf aus bei das dem den der des die ein eine einen er es für hat ich im ist mit nach nicht oder sich sie sind "
     "und von war wie wird zu zum zur "
     "al como con del el en era este la las lo los más no para pero por que se sin su sus un una y "
-    "au aux avec ce ces dans de du elle est et il ils je le les leur mais ne nous ou par pas plus pour qui sa ses son sont sur tre une vous".split()
+    "au aux avec ce ces dans de du elle est et il ils je le les leur mais ne nous ou par pas plus pour qui sa ses son sont sur très une vous".split()
 )
 SHORT, LONG = 70, 200  # characters
-LINKS = 0.4  # share of a block's characters inside links
+DENSE = 3  # letters that one character of Chinese, Japanese or Korean counts for
+LINKS, FEW_LINKS = 0.4, 0.2  # share of a block's characters inside links
 STOPS_LOW, STOPS_HIGH = 0.12, 0.25  # share of stop words among a block's words
+STOPS_KNOWN = 0.05  # share of stop words on a page in a language of the list
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"  # comments
@@ -67,6 +71,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME_WORD = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
+_IDEOGRAPHS = re.compile("[\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -183,17 +188,29 @@ def blocks(html: str) -> list[Block]:
     return page.blocks
 
 
-def first_pass(block: Block) -> bool | None:
-    """Good, bad or open, from the block alone."""
+def _stops(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def known_language(found: list[Block]) -> bool:
+    """Whether a page has stop words as a text in a language of the list has; scripts without blanks have a word a character."""
+    counts = [(*_stops(b.text), 0 if b.text.isascii() else len(_IDEOGRAPHS.findall(b.text))) for b in found]
+    return sum(stops for stops, _, _ in counts) >= STOPS_KNOWN * sum(n + dense for _, n, dense in counts)
+
+
+def first_pass(block: Block, known: bool = True) -> bool | None:
+    """Good, bad or open, from the block alone and whether the page's language is known."""
     letters = len(block.text.replace(" ", ""))
     if block.linked > LINKS * letters:
         return False
-    words = _WORD.findall(block.text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if len(block.text) >= SHORT and stops >= STOPS_HIGH or len(block.text) >= LONG and stops >= STOPS_LOW:
+    size = len(block.text) if block.text.isascii() else len(block.text) + (DENSE - 1) * len(_IDEOGRAPHS.findall(block.text))
+    if size >= (LONG if known else SHORT) and block.linked <= FEW_LINKS * letters:
+        return True
+    stops, n = _stops(block.text)
+    share = stops / n if n else 0.0
+    if size >= SHORT and share >= STOPS_HIGH or size >= LONG and share >= STOPS_LOW:
         return True
-    if len(block.text) >= LONG and not block.article and not stops:
-        return False
     return None
 
 
@@ -226,9 +243,10 @@ def unhinted(found: list[Block], labels: list[bool | None]) -> list[Block]:
 
 def main_text(html: str | None) -> str:
     found = blocks(html or "")
-    found = unhinted(found, [first_pass(b) for b in found])
+    known = known_language(found)
+    found = unhinted(found, [first_pass(b, known) for b in found])
     region = [b for b in found if b.article] or found
-    kept = second_pass([first_pass(b) for b in region])
+    kept = second_pass([first_pass(b, known) for b in region])
     return "\n".join(b.text for b, good in zip(region, kept) if good)
 
 

@@ -99,6 +99,30 @@ def test_names_are_hints(html, text):
     assert extract.main_text(html) == text
 
 
+FOREIGN = [
+    "В начале года жители города собрались на площади, чтобы обсудить новые правила движения и решить, как быть дальше. " * 3,
+    "Οι κάτοικοι της πόλης μαζεύτηκαν στην πλατεία για να συζητήσουν τους νέους κανόνες και να αποφασίσουν τι θα κάνουν. " * 3,
+    "اجتمع سكان المدينة في الساحة لمناقشة القواعد الجديدة واتخاذ قرار بشأن ما يجب القيام به بعد ذلك في هذا العام. " * 3,
+    "शहर के निवासी नए नियमों पर चर्चा करने और यह तय करने के लिए चौक में इकट्ठा हुए कि आगे क्या करना है। " * 3,
+    "今年年初，市民聚集在广场上讨论新的交通规则，并决定下一步应该怎么做。会议持续了整整三个小时。",
+    "今年の初め、市民は広場に集まり、新しい交通規則について話し合い、次に何をすべきかを決めました。",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN)
+def test_languages_without_stop_words(text):
+    links = "<ul><li><a href=a>главная 首页</a><li><a href=b>контакты 联系</a></ul>"
+    want = f"x\n{text.strip()}\n{text.strip()}\ny"
+    assert extract.main_text(f"{links}<h1>x</h1><p>{text}</p><p>{text}</p><p>y</p>{links}") == want
+    assert extract.main_text(f"{links}<p>{text}</p>{links}") == text.strip()
+
+
+def test_long_tables_stay():
+    table = " ".join(f"Smith-{i} {i * 37}" for i in range(40))
+    got = extract.main_text(f"<p>{PROSE}</p><p><a href=x>{PROSE}</a></p><table><tr><td>{table}</td></tr></table><p><a href=x>{PROSE}</a></p>")
+    assert got == f"{PROSE.strip()}\n{table}"
+
+
 def test_open_blocks_take_the_nearest_label():
     assert extract.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert extract.second_pass([True, None, False]) == [True, True, False]
