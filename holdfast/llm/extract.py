@@ -8,8 +8,11 @@ left it does not count. Pass one looks at each block alone: a high share of link
 is bad, a good length with a good share of stop words or with few links is good, all
 else is open. The stop words are those of four languages; on a page that hardly has
 any, a shorter length with few links is enough. Their absence never makes a block
-bad. Pass two gives every open block the label of the nearest decided block of its region (the
-article where the page marks one, the page else); without any, it stays in.
+bad. Pass two gives every open block the label of the nearest decided block on its
+side: blocks of marked articles look at each other, and the rest at the rest. Without
+any, it stays in, except beside a marked article, where only a top heading and the
+open blocks from there to the article do. A mark decides open blocks alone: good ones
+stay wherever they are.
 """
 
 from __future__ import annotations
@@ -81,6 +84,7 @@ class Block:
     linked: int  # characters inside links
     article: bool
     hint: int = 0  # number of the element whose class or id says it is not the article; 0 without
+    top: bool = False  # a heading of the first level
 
 
 @dataclass
@@ -94,6 +98,7 @@ class _Page:
     links: int = 0
     block_outside: bool = False  # the tag that opened this block says it is not the article
     block_hint: int = 0
+    block_top: bool = False
     hints: int = 0
 
     @property
@@ -118,19 +123,20 @@ class _Page:
     def close(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(text, self.linked, self.article, self.hint or self.block_hint))
-        self.parts, self.linked, self.block_outside, self.block_hint = [], 0, False, 0
+            self.blocks.append(Block(text, self.linked, self.article, self.hint or self.block_hint, self.block_top))
+        self.parts, self.linked, self.block_outside, self.block_hint, self.block_top = [], 0, False, 0, False
 
     def open_tag(self, tag: str, attributes: str) -> None:
         outside, article, named = self._says(tag, attributes)
         self.hints += named
         if tag in CONTAINERS:
+            inside = article or self.article and not (named and tag == "article")
             hint = 0 if article and not self.article else self.hint or self.hints * named
             if outside != self.outside or article != self.article or hint != self.hint:
                 self.close()
-            self.stack.append((tag, outside or self.outside, article or self.article, hint))
+            self.stack.append((tag, outside or self.outside, inside, hint))
         elif tag in BLOCK_TAGS:
-            self.block_outside, self.block_hint = outside, self.hints * named
+            self.block_outside, self.block_hint, self.block_top = outside, self.hints * named, tag == "h1"
 
     def close_tag(self, tag: str) -> None:
         if tag in CONTAINERS and any(t == tag for t, *_ in self.stack):
@@ -148,13 +154,13 @@ class _Page:
             article = article or "main" in roles or "article" in roles
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true"
             hidden = hidden or bool(_HIDDEN.search(values.get("style", "")))
+            if tag not in ("html", "body", "main") and tag not in HEADINGS and "main" not in roles:
+                names = [_NAME_WORD.findall(x) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
+                hinted = any(not OUTSIDE_WORDS.isdisjoint(x) and LAYOUT_WORDS.isdisjoint(x) for x in names)
             if tag not in ("html", "body", "main", "article"):
-                if tag not in HEADINGS and not article:
-                    names = [_NAME_WORD.findall(x) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
-                    hinted = any(not OUTSIDE_WORDS.isdisjoint(x) and LAYOUT_WORDS.isdisjoint(x) for x in names)
                 outside = outside or (not article and not OUTSIDE_ROLES.isdisjoint(roles))
             outside = outside or hidden
-        return outside, article, hinted
+        return outside, article and not hinted, hinted
 
 
 def blocks(html: str) -> list[Block]:
@@ -245,9 +251,16 @@ def main_text(html: str | None) -> str:
     found = blocks(html or "")
     known = known_language(found)
     found = unhinted(found, [first_pass(b, known) for b in found])
-    region = [b for b in found if b.article] or found
-    kept = second_pass([first_pass(b, known) for b in region])
-    return "\n".join(b.text for b, good in zip(region, kept) if good)
+    labels = [first_pass(b, known) for b in found]
+    marked = [i for i, b in enumerate(found) if b.article]
+    rest = [i for i, b in enumerate(found) if not b.article]
+    beside = not marked or any(labels[i] is not None for i in rest)
+    kept = dict(zip(marked, second_pass([labels[i] for i in marked])))
+    kept |= dict(zip(rest, second_pass([labels[i] for i in rest]) if beside else [False] * len(rest)))
+    if marked:
+        heading = max((i for i in rest if found[i].top and i < marked[0]), default=marked[0])
+        kept |= {i: labels[i] is not False for i in range(heading, marked[0])}
+    return "\n".join(b.text for i, b in enumerate(found) if kept[i])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

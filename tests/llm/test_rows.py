@@ -123,6 +123,21 @@ def test_long_tables_stay():
     assert got == f"{PROSE.strip()}\n{table}"
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        (f"<div><h1>T</h1><p>{PROSE}</p><p>end</p></div>" + "<article><a href=x>A teaser</a></article>" * 2, f"T\n{PROSE.strip()}\nend"),
+        (f"<p>{PROSE}</p>" + f"<article class=comment><p>{PROSE}</p></article>" * 3, PROSE.strip()),
+        (f"<h1>T</h1><p>By us</p><article><p>{PROSE}</p></article><p>out</p>", f"T\nBy us\n{PROSE.strip()}"),
+        (f"<h1>T</h1><p>{PROSE}</p><article><p>short</p></article>", f"T\n{PROSE.strip()}\nshort"),
+        (f"<article class='post tag-ads'><p>{PROSE}</p></article><p>out</p>", PROSE.strip()),
+        (f"<article><p>{PROSE}</p><div class=comments><article class=comment><p>{PROSE}</p></article></div></article>", PROSE.strip()),
+    ],
+)
+def test_marked_articles_are_evidence(html, text):
+    assert extract.main_text(html) == text
+
+
 def test_open_blocks_take_the_nearest_label():
     assert extract.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert extract.second_pass([True, None, False]) == [True, True, False]
