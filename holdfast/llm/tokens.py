@@ -224,7 +224,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, end: int = END, shard
     """
     text = F.col("text").cast("string")
     plain = docs.select("doc_id", text.alias("text"))
-    shard, shards = range_shards(plain, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 8, shard_bytes)
+    shard, shards = range_shards(plain, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 8, shard_bytes, F.col("text"))
     placed = (
         plain.withColumn("shard", shard)
         .repartitionById(shards, F.col("shard"))

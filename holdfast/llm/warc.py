@@ -154,7 +154,7 @@ def write(
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     plain = plain.withColumn("sha", F.unhex(F.sha1("html")))
-    shard, shards = range_shards(plain, "page_id", F.octet_length("html") + 512, shard_bytes)
+    shard, shards = range_shards(plain, "page_id", F.octet_length("html") + 512, shard_bytes, F.col("sha"))
     path = scratch_path(spark, "revisits")
     notes = land(revisits(plain, min_bytes), path)
     none = F.lit(None).cast("string")

@@ -12,7 +12,7 @@ from brute import Trie, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from holdfast.llm import extract, langid, mixing, ppm, shuffle, tokens, warc
+from holdfast.llm import extract, langid, mixing, ppm, shuffle, storage, tokens, warc
 from holdfast.session import scratch_path
 
 TESTDATA = "/root/testdata/sf0.001"
@@ -202,6 +202,52 @@ def test_scores_without_training(spark):
     assert ppm.score(rows.limit(0), F.lit(None).cast("boolean")).collect() == []
 
 
+# ranges
+
+ENDS = [-(2**63), -(2**63) + 5, -7, 0, 3, 2**62, 2**63 - 2, 2**63 - 1]
+
+
+@pytest.mark.parametrize(
+    "ids, least",
+    [
+        (ENDS * 3, 5),
+        ([*range(3000), 10**18], 100),
+        ([-(2**63), *range(-500, 500), 2**63 - 1, *range(10**15, 10**15 + 500)], 50),
+        ([5] * 400 + [None] * 400 + [6], 50),
+        ([None] * 300, 30),
+    ],
+)
+def test_ranges_follow_the_keys(spark, ids, least):
+    rows = [(i, f"{zlib.crc32(str(place).encode()):08x} x") for place, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    shard, shards = storage.range_shards(df, "k", F.lit(10), 100, F.col("t"))
+    got = df.select("k", "t", shard.alias("s")).collect()
+    assert [r.s for r in sorted(got, key=lambda r: (r.k is not None, r.k or 0, r.t))] == sorted(r.s for r in got)
+    sizes = Counter(r.s for r in got)
+    assert set(sizes) == set(range(shards)) and shards >= min(least, len(set(rows)) // 10) and max(sizes.values()) <= 20
+    again = storage.range_shards(df.repartition(7), "k", F.lit(10), 100, F.col("t"))[0]
+    assert sorted(map(str, df.select("k", "t", again.alias("s")).collect())) == sorted(map(str, got))
+
+
+def test_equal_rows_share_a_range(spark):
+    df = spark.createDataFrame([(1, "same")] * 50 + [(None, None)] * 50, "k long, t string")
+    shard, shards = storage.range_shards(df, "k", F.lit(10), 100, F.col("t"))
+    assert shards == 2 and {(r.k, r.s) for r in df.select("k", shard.alias("s")).collect()} == {(None, 0), (1, 1)}
+    assert storage.range_shards(df.limit(0), "k", F.lit(10), 100, F.col("t"))[1] == 1
+
+
+def test_files_of_ids_at_both_ends(spark):
+    rows = [(i, f"text {i}", None, None) for i in [*ENDS, *range(200), None]]
+    folder = scratch_path(spark, "tokens")
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    got = tokens.read_back(tokens.write(docs(spark, rows), folder, tokenizer=path, shard_bytes=200), folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, *sorted([*ENDS, *range(200)])]
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in ENDS], "page_id long, url string, html string")
+    folder = scratch_path(spark, "warc")
+    got = warc.read_back(warc.write(pages, folder, shard_bytes=1000), folder).collect()
+    assert sorted(r.page_id for r in got) == ENDS and {r.record_type for r in got} == {"response"}
+
+
 # archives
 
 
