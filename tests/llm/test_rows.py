@@ -55,6 +55,21 @@ def test_too_many_languages_are_an_error(spark):
         langid.fit(docs(spark, [(i, "some text", f"l{i}", "s") for i in range(70)]))
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    letters = "bcdfghjklmnpqrstvwxz"
+    known = [(i, f"{letters[i % 20]}a{letters[i // 20]}o {letters[i // 20]}{letters[i % 20]}ee " * 30, f"l{i:02d}", "s") for i in range(70)]
+    df = docs(spark, known + [(90, "12 !", "en", "s"), (91, None, "l01", "s")])
+    model = langid.learn(df)
+    assert isinstance(model, langid.LanguageBlocks) and len(model.files) == 2
+    got = {r.doc_id: r for r in langid.identify(df, model, F.col("doc_id")).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in known) and got[90].lang_pred == got[91].lang_pred == "und"
+    assert langid.keep_identified(df).count() == sum(r.accepted for r in got.values()) > 0
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 100)
+    one = langid.learn(df)
+    assert isinstance(one, langid.LanguageModel)
+    assert sorted(map(str, langid.identify(df, one, F.col("doc_id")).collect())) == sorted(map(str, got.values()))
+
+
 # extraction
 
 PROSE = "The article is about the things that are in it and it was written for you by us. " * 4
@@ -409,6 +424,19 @@ def test_a_mix_meets_its_quotas(spark, budget):
     assert out.columns == df.columns and out.count() == len(got)
 
 
+@pytest.mark.parametrize("budget", [None, 3000])
+def test_any_number_of_sources(spark, monkeypatch, budget):
+    rows = [(i, "w " * rng.randint(0, 20), None, rng.choice(["a"] * 20 + [f"host{i}" for i in range(30)] + [None])) for i in range(500)]
+    df = docs(spark, rows)
+    want, plan = mixing.mix(df, budget=budget, block_tokens=100)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 8)
+    got, by_size = mixing.mix(df, budget=budget, block_tokens=100)
+    assert by_size.by_size and not plan.by_size and by_size.exponent == pytest.approx(plan.exponent)
+    assert set(by_size.quotas.values()) == set(plan.quotas.values())
+    columns = ["row", "tokens", "pass", "block", "order"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+
+
 def test_nothing_to_mix(spark):
     empty = docs(spark, [(1, "x", None, "a")]).limit(0)
     assert mixing.resample(empty).collect() == []
