@@ -643,7 +643,6 @@ def plot_bundle(spark, sf):
 # Boosters and networks of the presets in all but their length: a preset fit of 500 trees is over
 # ten minutes here on one machine, a preset study some hundred of them. Both are parameters.
 TREES = 20
-STUDY_TREES = 5
 EPOCHS = 20
 
 
@@ -681,10 +680,10 @@ def gbt_raw(spark, sf):
 
 
 @query()
-def gbt_earlystop(spark, sf):
+def gbt_earlystop(spark, sf, trees=M.EARLY_STOP_BOOSTER.max_iter):
     """Trees with missing values and a patience rule: metrics on TEST."""
     table = C.keep_finite(dirty(spark, sf), ["toc"])
-    rows, _ = held_out_by(spark, sf, shorter(M.EARLY_STOP_BOOSTER), PYROLYSIS, table)
+    rows, _ = held_out_by(spark, sf, shorter(M.EARLY_STOP_BOOSTER, trees), PYROLYSIS, table)
     return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
 
 
@@ -739,50 +738,51 @@ def monotone_violation(spark, sf):
     return N.monotone_violation(test, weights, [(0, 1), (1, 1)])
 
 
-def short_study(cfg):
-    refine = cfg.refine and replace(cfg.refine, epochs=EPOCHS)
-    return cfg.but(booster=shorter(cfg.booster, STUDY_TREES), refine=refine)
+def sized(cfg, trees=None, epochs=None):
+    """A study's preset with other numbers of trees and epochs, where given."""
+    refine = cfg.refine and replace(cfg.refine, epochs=epochs or cfg.refine.epochs)
+    return cfg.but(booster=shorter(cfg.booster, trees or cfg.booster.max_iter), refine=refine)
 
 
 @query()
-def study_multi_basin(spark, sf):
+def study_multi_basin(spark, sf, seeds=300, trees=None, epochs=None):
     """A whole study: Full against NoRes, network gated on VAL."""
     p = prepare_multi_basin(samples(spark, sf).select("sample_id", *LOG_FEATURES, "toc"))
-    cfg = multi_basin(p.settings, n_repeats=2, target=p.target, use_external_booster=False)
-    cfg = short_study(cfg)
+    cfg = multi_basin(p.settings, n_repeats=seeds, target=p.target, use_external_booster=False)
+    cfg = sized(cfg, trees, epochs)
     return run_ablation(p.table, cfg).summary
 
 
 @query()
-def study_log_pyrolysis(spark, sf):
+def study_log_pyrolysis(spark, sf, seeds=500, trees=None, epochs=None):
     """A whole study: soft line and cap on the RockEval setting."""
     raw = samples(spark, sf).select("sample_id", F.col("toc").alias("TOC"), *[F.col(c).alias(c.capitalize()) for c in PYROLYSIS])
     p = prepare_log_pyrolysis(raw)
-    cfg = log_pyrolysis(p.settings, n_repeats=2, target=p.target, s2_col=p.roles["S2"])
-    cfg = short_study(cfg)
+    cfg = log_pyrolysis(p.settings, n_repeats=seeds, target=p.target, s2_col=p.roles["S2"])
+    cfg = sized(cfg, trees, epochs)
     return run_ablation(p.table, cfg).summary
 
 
 @query()
-def study_pyrolysis_hi(spark, sf):
+def study_pyrolysis_hi(spark, sf, seeds=200, trees=None, epochs=None):
     """A whole study: ratio band and inverse line, best setting per seed."""
     raw = samples(spark, sf).select(
         "sample_id", F.col("toc").alias("TOC (wt%)"), F.col("s2").alias("S2 (mg HC/g)"), F.col("s1").alias("S1"),
         F.col("tmax").alias("Tmax"), F.col("depth").alias("Depth"), D.hydrogen_index("s2", "toc").alias("HI"))
     p = standard_names(prepare_pyrolysis_hi(raw))
-    cfg = pyrolysis_hi(p.settings, seeds_step=20, seeds_max=40, target=p.target, s2_col=p.roles["S2"], hi_col=p.roles["HI"])
-    cfg = short_study(cfg)
+    cfg = pyrolysis_hi(p.settings, seeds_step=20, seeds_max=20 * seeds, target=p.target, s2_col=p.roles["S2"], hi_col=p.roles["HI"])
+    cfg = sized(cfg, trees, epochs)
     return run_ablation(p.table, cfg).best_of_best
 
 
 @query()
-def study_missing_features(spark, sf):
+def study_missing_features(spark, sf, seeds=300, trees=None, epochs=None):
     """The multi-basin study over a table whose logs are partly missing or infinite after log1p."""
     raw = dirty(spark, sf).select("sample_id", *LOG_FEATURES, "toc")
     raw = raw.withColumn("rs", F.when(F.col("sample_id") % 43 == 0, F.lit(float("inf"))).otherwise(F.col("rs")))
     p = prepare_multi_basin(raw)
-    cfg = multi_basin(p.settings, n_repeats=1, target=p.target, use_refinement=False)
-    return run_ablation(p.table, short_study(cfg)).summary
+    cfg = multi_basin(p.settings, n_repeats=seeds, target=p.target, use_refinement=False)
+    return run_ablation(p.table, sized(cfg, trees, epochs)).summary
 
 
 # ----------------------------------------------- scans, roles and written files
