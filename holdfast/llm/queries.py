@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.llm import align, extract, langid, minhash, mixing, ppm, shuffle, tokens, topk, warc, winnow
+from holdfast.llm import align, extract, langid, minhash, mixing, phrases, ppm, shuffle, tokens, topk, warc, winnow
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_minhash_near_dedup": minhash.query,
     "op10_benchmark_decontamination": winnow.query,
     "op12_tokenizer_alignment": align.query,
+    "op13_phrase_mining": phrases.query,
 }
 ORACLES = {
     "op6_exact_topk": topk.ORACLE_SQL,
     "op1_warc": warc.ORACLE_SQL,
     "op9_minhash_near_dedup": minhash.ORACLE_SQL,
     "op10_benchmark_decontamination": winnow.ORACLE_SQL,
+    "op13_phrase_mining": phrases.ORACLE_SQL,
 }

@@ -93,10 +93,8 @@ def _segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix(poly + (ends - starts).astype(U64))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and the place of each row's first word (rows + 1)."""
-    starts, ends = word_spans(data, offsets, kind)
-    first_word = np.searchsorted(starts, offsets)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the folded bytes of every span, in order."""
     hashes = np.empty(len(starts), dtype=U64)
     word = 0
     while word < len(starts):
@@ -105,7 +103,13 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tupl
         high = ends[stop - 1]
         hashes[word:stop] = _segment_hashes(data[low:high], starts[word:stop] - low, ends[word:stop] - low)
         word = stop
-    return hashes, first_word
+    return hashes
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word in order, and the place of each row's first word (rows + 1)."""
+    starts, ends = word_spans(data, offsets, kind)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
