@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from holdfast.llm import align, extract, langid, minhash, mixing, phrases, ppm, shuffle, tokens, topk, warc, winnow
+from holdfast.llm import align, extract, langid, minhash, mixing, phrases, ppm, quality, shuffle, tokens, topk, warc, winnow
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sharding": shuffle.query,
     "op9_minhash_near_dedup": minhash.query,
     "op10_benchmark_decontamination": winnow.query,
+    "op11_quality_classifier": quality.query,
     "op12_tokenizer_alignment": align.query,
     "op13_phrase_mining": phrases.query,
 }
