@@ -24,6 +24,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -127,7 +128,7 @@ class Aligner:
         inside[np.cumsum(counts) - 1] = False  # the encoder's end id
         ids = ids[inside].astype(np.int64)
         found = self.model.encode(texts, num_threads=1)
-        flat = np.fromiter((i for row in found for i in row), np.int64, sum(map(len, found)))
+        flat = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
         counts_b = np.array([len(row) for row in found], dtype=np.int64)
         return Side(ids, counts - 1, self.sizes_a[ids]), Side(flat, counts_b, self.sizes_b[flat])
 
