@@ -40,12 +40,15 @@ SCORES = 1 << 22  # texts times languages whose sizes are held at once
 CHUNK = 4096  # bytes encoded at once: the dictionary must not be outgrown by the text itself
 NARROW = 0.01  # the least relative lead over the second language
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")  # letters, and fractions, superscripts and number letters among them
 
 
 def normalise(text: str) -> str:
     """Lower-case words of letters, one blank between them and around them."""
-    return f" {' '.join(_LETTERS.findall(text.lower()))} "
+    runs = _RUNS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):
+        runs = "".join(c if c.isalpha() else " " for run in runs for c in f"{run} ").split()
+    return f" {' '.join(runs)} "
 
 
 @dataclass(frozen=True)
@@ -152,7 +155,7 @@ def _sizes(text: str, encoders) -> np.ndarray:
 
 
 def _has_letters(text: str | None) -> bool:
-    return bool(text and _LETTERS.search(text))
+    return any(map(str.isalpha, text or ""))
 
 
 def _classify(text: str | None, encoders) -> tuple[str, float, bool]:

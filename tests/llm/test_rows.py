@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import zstandard
 import public_tokenizers
 import pytest
 from brute import Trie, words
@@ -50,6 +51,38 @@ def test_language_of_odd_texts(spark):
     assert langid.keep_identified(odd.limit(0)).collect() == []
 
 
+def plain_costs(model, text):
+    """Bytes of a text under each language's dictionary; none without a letter."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    data, out = f" {' '.join(runs)} ".encode(), {}
+    for lang, content in model.content.items() if runs else ():
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=langid.LEVEL)
+        options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
+        encoder = zstandard.ZstdCompressor(dict_data=known, level=langid.LEVEL, **options)
+        out[lang] = model.cost[lang] + sum(len(encoder.compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+    return out
+
+
+def test_letters_are_those_of_unicode(spark):
+    assert [langid.normalise(t) for t in ("\xb2", "\xbd \u2167", "x\xb2y \xe9", "Ab 1c_d")] == ["  ", "  ", " x y \xe9 ", " ab c d "]
+    known = docs(spark, [(i, "the cat and the dog of the house", "en", "s") for i in range(4)])
+    rows = docs(spark, [(i, t, None, "s") for i, t in enumerate(["\xb2", "\xbd \u2167", "\u0661", "\xaa\xb2"])])
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, langid.fit(known), F.col("doc_id")).collect()}
+    assert [got[i] for i in range(3)] == ["und"] * 3
+
+
+def test_predictions_are_those_of_a_plain_loop(spark):
+    """Every text against every dictionary, chunk by chunk, without the operator's batches."""
+    df = spark.read.parquet(f"{TESTDATA}/documents.parquet")
+    learned = df.filter(langid.fold("doc_id", 4) != 2)
+    model = langid.fit(learned)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model, F.col("doc_id")).collect()}
+    for row in df.collect():
+        costs = plain_costs(model, row.text)
+        assert got[row.doc_id] == (min(sorted(costs), key=lambda lang: costs[lang]) if costs else "und")
+
+
 def test_too_many_languages_are_an_error(spark):
     with pytest.raises(ValueError, match="languages"):
         langid.fit(docs(spark, [(i, "some text", f"l{i}", "s") for i in range(70)]))
