@@ -179,15 +179,20 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k: int
     before = Window.partitionBy("row").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     covered = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))))
     words = hits.select("row", covered.alias("words")).groupBy("row").agg(F.sum("words").alias("n_hit"))
+    # documents with the same combination of lists have the same items: these are written out once
+    held = hits.groupBy("row").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    held = land(held.withColumn("combination", F.xxhash64("lists")), scratch_path(spark, "held"))
     named = (
-        hits.select("row", "list")
+        held.select("combination", "lists")
         .distinct()
+        .select("combination", "lists", F.explode("lists").alias("list"))
         .join(lists, "list")
-        .select("row", F.explode("items").alias("item"))
-        .groupBy("row")
+        .select("combination", "lists", F.explode("items").alias("item"))
+        .groupBy("combination", "lists")
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
+        .select("combination", "lists", F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("digest"))
     )
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    named = held.join(named, ["combination", "lists"]).select("row", "n", "digest")
     return (
         found.select("row", "doc_id", "text_hash", "n_words")
         .join(words, "row", "left")
@@ -197,8 +202,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, k: int
             "text_hash",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.size(items_of).cast("long").alias("n_items"),
-            F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
+            F.coalesce("n", F.lit(0)).cast("long").alias("n_items"),
+            F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         )
         .withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
     )
