@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm.text import slices
+from holdfast.llm.text import released, slices
 from holdfast.llm.tokens import _AS_CHARACTERS, _PRINTABLE, Encoder
 from holdfast.session import land, scratch_path
 
@@ -335,7 +335,7 @@ def _scan(path_a: str, path_b: str, id_type: pa.DataType):
                     place, filled = place + stop - start, filled + int(ends[-1] - ends[0])
         yield from postings()
 
-    return run
+    return released(run)
 
 
 def _scores(_key, docs: pa.Table, postings: pa.Table) -> pa.Table:

@@ -30,6 +30,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import StructType
 
 from holdfast.llm.storage import committed, open_file
+from holdfast.llm.text import released
 from holdfast.session import scratch_path
 
 SAMPLES = 512
@@ -206,7 +207,7 @@ def _scan(shared_model):
                 names=[batch.schema.names[i] for i in others] + ["lang_pred", "score", "accepted"],
             )
 
-    return scan
+    return released(scan)
 
 
 def _decide(rows: DataFrame, model: LanguageModel | LanguageBlocks) -> DataFrame:

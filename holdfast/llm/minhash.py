@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm import bloom
 from holdfast.llm.components import components
-from holdfast.llm.text import BETWEEN_SPACE, U64, grams, mix, slices, starts_of_grams, word_hashes
+from holdfast.llm.text import BETWEEN_SPACE, U64, grams, mix, released, slices, starts_of_grams, word_hashes
 from holdfast.session import drop, land, scratch_path
 
 ROWS = 6  # signature values per band, two from each permutation
@@ -126,7 +126,7 @@ def _sketch_scan(words: int, bands: int):
                     names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", "cells"],
                 )
 
-    return scan
+    return released(scan)
 
 
 def _set_scan(words: int, shared_bits):
@@ -147,7 +147,7 @@ def _set_scan(words: int, shared_bits):
                     names=["row_key", "shingles"],
                 )
 
-    return scan
+    return released(scan)
 
 
 def _confirm(percent: int):
@@ -167,7 +167,7 @@ def _confirm(percent: int):
                 [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
             )
 
-    return run
+    return released(run)
 
 
 def _tile_pairs(percent: int):
@@ -204,7 +204,7 @@ def _tile_pairs(percent: int):
         if waiting:
             yield compare(pa.Table.from_batches(waiting))
 
-    return run
+    return released(run)
 
 
 class _Run:

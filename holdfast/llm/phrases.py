@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from holdfast.llm import bloom
-from holdfast.llm.text import LOWER, U64, mix, slices, span_hashes, word_spans
+from holdfast.llm.text import LOWER, U64, mix, released, slices, span_hashes, word_spans
 from holdfast.session import drop, land, scratch_path
 
 SCALE = 2_000_000
@@ -138,7 +138,7 @@ def _counting(size: int, places: Callable[[Words], np.ndarray]):
         if found:
             yield flush(found)
 
-    return run
+    return released(run)
 
 
 def _bits(shared) -> np.ndarray:
@@ -323,7 +323,7 @@ def _spelling(shared):
                     [pa.array(key.view(np.int64)), pa.array(texts, pa.string())], names=["word_key", "word"]
                 )
 
-    return run
+    return released(run)
 
 
 def mine(

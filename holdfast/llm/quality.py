@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.langid import fold
-from holdfast.llm.text import BETWEEN_SPACE, grams, slices, span_hashes, starts_of_grams, word_spans
+from holdfast.llm.text import BETWEEN_SPACE, grams, released, slices, span_hashes, starts_of_grams, word_spans
 from holdfast.session import land, scratch_path
 
 SAMPLE = 16_384  # labelled rows the trees are fitted on, about
@@ -297,7 +297,7 @@ def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, vector): the statistics of every row's text as little-endian 32-bit floats."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_statistics_scan, f"doc_id {kind}, vector binary")
+    return rows.mapInArrow(released(_statistics_scan), f"doc_id {kind}, vector binary")
 
 
 def learn(described: DataFrame, labels: DataFrame, held_out: Column, *, sample: int = SAMPLE, **options) -> Forest:

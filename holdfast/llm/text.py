@@ -22,11 +22,21 @@ _ODD_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
-def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that hands free memory back when it ends: its worker is used again for other tasks."""
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a worker keeps from task to task, until a task of another kind begins."""
+    return _kept.setdefault(name, {})
+
+
+def released(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's function that begins without what other kinds of tasks kept (all but ``keep``),
+    and hands free memory back when it ends: its worker is used again for other tasks."""
 
     @functools.wraps(run)
     def task(batches: Iterator) -> Iterator:
+        forget(keep)
         try:
             yield from run(batches)
         finally:
@@ -35,6 +45,12 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return task
 
 
+def forget(keep: str = "") -> None:
+    for name, cache in _kept.items():
+        if name != keep:
+            cache.clear()
+
+
 def release() -> None:
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one

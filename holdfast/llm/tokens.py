@@ -35,6 +35,7 @@ from tokenizers import Tokenizer
 
 from holdfast.llm import simple8b
 from holdfast.llm.storage import committed, open_file, range_shards
+from holdfast.llm.text import released, worker_cache
 from holdfast.session import land, scratch_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -52,7 +53,7 @@ _LETTERS = re.compile(f" ?[{_LATIN}]+").fullmatch
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed: bytes that stand for themselves
 _AS_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _BLANK = chr(_AS_CHARACTERS[ord(" ")])
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = worker_cache("encoders")
 
 
 class _Places(dict):
@@ -212,7 +213,7 @@ def _writer(folder: str, path: str, end: int):
                 schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
             )
 
-    return run
+    return released(run, keep="encoders")
 
 
 def write(docs: DataFrame, folder: str, *, tokenizer: str, end: int = END, shard_bytes: int = SHARD_BYTES) -> DataFrame:
