@@ -46,12 +46,16 @@ LEAST = 30  # occurrences of a candidate
 LONGEST = 4  # words
 TOP = 2000
 HOLDS = 80  # percent of its occurrences in a longer candidate that drop a phrase
-CHUNK_BYTES = 12 << 20  # of text whose phrases a worker counts at once
+CHUNK_BYTES = 8 << 20  # of text whose phrases a worker counts at once
+BATCH = 1 << 16  # rows handed to Spark at a time
 WIDEN = (4, 64, None)  # multiples of TOP at which a language's rank is set in turn; None: no rank
 _BREAKS = [0x2E, 0x2C, 0x3B, 0x3A, 0x21, 0x3F, *range(0x0A, 0x0E)]  # fixed values
 _IS_BREAK = np.isin(np.arange(256), _BREAKS)
 _IN_WORD = ~np.isin(np.arange(256), [*_BREAKS, 0x20, 0x09])
-_SCHEMA = {n: ", ".join([*[f"w{i} long" for i in range(1, n + 1)], "lang string", "n long"]) for n in range(1, 10)}
+
+
+def _names(size: int) -> list[str]:
+    return [f"w{i}" for i in range(1, size + 1)]
 
 
 def _grow(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -84,63 +88,66 @@ class Words:
             self.follows[:-1] = between & (self.row[1:] == self.row[:-1])
 
 
-def _tally(columns: list[np.ndarray], rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct phrases, a row that holds each, and their numbers."""
+def _tally(columns: list[np.ndarray], n: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct phrases with their numbers."""
     key = columns[0]
     for c in columns[1:]:
         key = _grow(key, c)
-    _, at, n = np.unique(key, return_index=True, return_counts=True)
-    return [c[at] for c in columns], rows[at], n
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+    if n is None:
+        total = np.diff(np.r_[first, len(key)])
+    else:
+        total = np.add.reduceat(n[order], first) if len(key) else n
+    at = order[first]
+    return [c[at] for c in columns], total
 
 
 def _counting(size: int, places: Callable[[Words], np.ndarray]):
-    """Counts of the phrases of ``size`` words that begin at ``places``, chunk by chunk.
+    """Counts of the phrases of ``size`` words that begin at ``places``, chunk by chunk."""
 
-    With single words, a row without a word has the number of all words of a language.
-    """
+    def flushed(found: list) -> Iterator[pa.RecordBatch]:
+        columns, n = [np.concatenate(c) for c in zip(*(x[0] for x in found))], np.concatenate([x[1] for x in found])
+        found.clear()
+        columns, n = _tally(columns, n)
+        for low in range(0, len(n), BATCH):
+            part = [pa.array(c[low : low + BATCH].view(np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*part, pa.array(n[low : low + BATCH])], names=[*_names(size), "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(found: list) -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*(x[0] for x in found))]
-            langs = pa.concat_arrays([x[1] for x in found])
-            n = np.concatenate([x[2] for x in found])
-            key = columns[0]
-            for c in columns[1:]:
-                key = _grow(key, c)
-            order = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else order
-            total = np.add.reduceat(n[order], first) if len(key) else n
-            at = order[first]
-            words = [pa.array(c[at].view(np.int64)) for c in columns]
-            return pa.RecordBatch.from_arrays([*words, langs.take(pa.array(at)), pa.array(total)], names=names)
-
-        names = [c.split()[0] for c in _SCHEMA[size].split(", ")]
         found, filled = [], 0
         for batch in batches:
             for low, high, data, offsets in slices(batch.column("text")):
                 words = Words(batch, low, high, data, offsets)
                 at = places(words)
-                columns, rows, n = _tally([words.key[at + i] for i in range(size)], words.row[at])
-                found.append((columns, batch.column("lang").take(pa.array(rows)).cast(pa.string()), n))
+                found.append(_tally([words.key[at + i] for i in range(size)]))
                 filled += len(data)
                 if filled > CHUNK_BYTES:
-                    yield flush(found)
-                    found, filled = [], 0
-            if size == 1 and batch.num_rows:
-                langs = batch.column("lang").cast(pa.string()).dictionary_encode()
-                per_row = np.zeros(batch.num_rows, dtype=np.int64)
-                for low, high, data, offsets in slices(batch.column("text")):
-                    starts, _ = word_spans(data, offsets, _IN_WORD)
-                    per_row[low:high] = np.diff(np.searchsorted(starts, offsets))
-                total = np.bincount(np.asarray(langs.indices), weights=per_row, minlength=len(langs.dictionary))
-                nothing = pa.nulls(len(total), pa.int64())
-                yield pa.RecordBatch.from_arrays([nothing, langs.dictionary, pa.array(total.astype(np.int64))], names=names)
+                    yield from flushed(found)
+                    filled = 0
         if found:
-            yield flush(found)
+            yield from flushed(found)
 
     return released(run)
 
 
+def _counting_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with their language and number, slice by slice; a row without a word has the number of all words."""
+    names = ["w1", "lang", "n"]
+    for batch in batches:
+        langs = batch.column("lang").cast(pa.string()).dictionary_encode()
+        code = np.asarray(langs.indices)
+        for low, high, data, offsets in slices(batch.column("text")):
+            words = Words(batch, low, high, data, offsets)
+            key, at, n = np.unique(words.key, return_index=True, return_counts=True)
+            spoken = langs.dictionary.take(pa.array(code[words.row[at]]))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), spoken, pa.array(n)], names=names)
+            total = np.bincount(code[words.row], minlength=len(langs.dictionary))
+            nothing = pa.nulls(len(total), pa.int64())
+            yield pa.RecordBatch.from_arrays([nothing, langs.dictionary, pa.array(total.astype(np.int64))], names=names)
+
+
 def _bits(shared) -> np.ndarray:
     return np.frombuffer(shared.value, dtype=np.uint8)
 
@@ -214,12 +221,18 @@ class _Miner:
     def bits(self, keys: DataFrame):
         return self.spark.sparkContext.broadcast(bloom.build(keys, "key"))
 
-    def counted(self, size: int, places) -> DataFrame:
-        names = [f"w{i}" for i in range(1, size + 1)]
-        rows = self.texts.mapInArrow(_counting(size, places), _SCHEMA[size])
-        total = rows.groupBy(*names, "lang").agg(F.sum("n").alias("a"))
+    def words(self) -> DataFrame:
+        """(w1, lang, a) of frequent words; without a word, the number of all of a language."""
+        rows = self.texts.mapInArrow(released(_counting_words), "w1 long, lang string, n long")
+        total = rows.groupBy("w1", "lang").agg(F.sum("n").alias("a"))
         return total.filter((F.col("a") >= self.least) | F.col("w1").isNull())
 
+    def counted(self, size: int, places) -> DataFrame:
+        """(w1, .., a) of frequent phrases. Tasks have added up theirs, so Spark does not try once more before the shuffle."""
+        names = _names(size)
+        rows = self.texts.mapInArrow(_counting(size, places), ", ".join(f"{c} long" for c in [*names, "n"]))
+        return rows.repartition(*names).groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= self.least)
+
     def scored(self, level: DataFrame, size: int) -> DataFrame:
         """Score at the lowest cut, and the bounds of what grows from a phrase's front and back.
 
@@ -236,14 +249,14 @@ class _Miner:
         bound = lambda counts: _ratio(F.col("a"), _wide(F.element_at(counts, 1)) + _wide(F.col("a")))
         out = level.withColumn("cut", F.when(known, lowest))
         out = out.withColumn("score", F.col("cut.score")).withColumn("l", F.col("cut.l")).withColumn("r", F.col("cut.r"))
-        words = [f"w{i}" for i in range(1, size + 1)]
-        return out.drop("cut").withColumns({"ahead": bound("fronts"), "behind": bound("backs"), "key": _key(words)})
+        return out.drop("cut").withColumns({"ahead": bound("fronts"), "behind": bound("backs"), "key": _key(_names(size))})
 
     def pairs(self, words: DataFrame) -> DataFrame:
         shared = self.bits(words.withColumnRenamed("w1", "key"))
         counts = self.counted(2, _pairs(shared))
-        one = lambda i: words.select(F.col("w1").alias(f"w{i}"), F.array("a").alias("fronts" if i == 1 else "backs"))
-        return self.land(self.scored(counts.join(one(1), "w1").join(one(2), "w2"), 2), "pairs")
+        front = words.select("w1", "lang", F.array("a").alias("fronts"))
+        back = words.select(F.col("w1").alias("w2"), F.array("a").alias("backs"))
+        return self.land(self.scored(counts.join(front, "w1").join(back, "w2"), 2), "pairs")
 
     def ranks(self, pairs: DataFrame, times: int | None) -> DataFrame:
         """Per language the rank (from_score, from_a) at which ``times`` * top pairs stand; zeros without one.
@@ -275,7 +288,7 @@ class _Miner:
         shared = {"pairs": self.bits(level)}
         while True:
             here = level.filter(from_on("score"))
-            names = [f"w{i}" for i in range(1, size + 1)]
+            names = _names(size)
             found = here.select("lang", F.array(*names).alias("words"), "score", "a", "l", "r", "key")
             if size == self.longest:
                 survivors.append(found.drop("key"))
@@ -284,15 +297,19 @@ class _Miner:
             backs = self.bits(level.filter(from_on("behind")))
             settled = self.bits(here) if size + 1 == self.longest else None
             counts = self.land(self.counted(size + 1, _longer(size + 1, shared["pairs"], fronts, backs, settled)), "longer")
-            wider = [f"w{i}" for i in range(1, size + 2)]
+            wider = _names(size + 1)
             held = counts.select(F.explode(F.array(_key(wider[:-1]), _key(wider[1:]))).alias("key"), F.col("a").alias("more"))
             held = held.groupBy("key").agg(F.max("more").alias("more"))
             kept = F.col("more").isNull() | (_wide(F.col("more")) * 100 < _wide(F.col("a")) * self.holds)
             survivors.append(found.join(held, "key", "left").filter(kept).drop("key", "more"))
             grown = lambda side: F.concat(side, F.array("a"))
-            prefix = level.select(*names, grown("fronts").alias("fronts"))
-            suffix = level.select(*[F.col(n).alias(w) for n, w in zip(names, wider[1:])], grown("backs").alias("backs"))
-            longer = counts.join(prefix, names, "left").join(suffix, wider[1:], "left").join(ranks, "lang")
+            prefix = level.select(*names, grown("fronts").alias("fronts"), "lang", "from_score", "from_a")
+            # a phrase reached from behind alone has no score, but is the back of others
+            spoken = [F.col(c).alias(f"{c}_") for c in ("lang", "from_score", "from_a")]
+            suffix = level.select(*[F.col(n).alias(w) for n, w in zip(names, wider[1:])], grown("backs").alias("backs"), *spoken)
+            longer = counts.join(prefix, names, "left").join(suffix, wider[1:], "left")
+            either = {c: F.coalesce(c, f"{c}_") for c in ("lang", "from_score", "from_a")}
+            longer = longer.withColumns(either).drop(*[f"{c}_" for c in either])
             level, size = self.land(self.scored(longer, size + 1), "level"), size + 1
         out = survivors[0]
         for more in survivors[1:]:
@@ -342,7 +359,7 @@ def mine(
     """
     miner = _Miner(docs, least, longest, top, holds)
     spark = miner.spark
-    words = miner.land(miner.counted(1, lambda words: np.arange(len(words.key))), "words")
+    words = miner.land(miner.words(), "words")
     totals = words.filter("w1 IS NULL").select("lang", F.col("a").alias("n"))
     pairs = todo = miner.pairs(words.filter("w1 IS NOT NULL"))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
