@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from holdfast.config import log_pyrolysis, multi_basin, pyrolysis_hi
 from holdfast.functions import columns as X
+from holdfast.operators import boosting as B
 from holdfast.operators import clean as C
 from holdfast.operators import constraints as K
 from holdfast.operators import features as D
@@ -640,14 +641,8 @@ def plot_bundle(spark, sf):
 # ------------------------------------------------- trees and networks, no SQL
 
 
-# Boosters and networks of the presets in all but their length: a preset fit of 500 trees is over
-# ten minutes here on one machine, a preset study some hundred of them. Both are parameters.
-TREES = 20
-EPOCHS = 20
-
-
-def shorter(booster: M.Booster, trees: int = TREES) -> M.Booster:
-    return replace(booster, max_iter=trees)
+def sized_booster(booster: M.Booster, trees: int | None) -> M.Booster:
+    return replace(booster, max_iter=trees or booster.max_iter)
 
 
 LOG_FEATURES = ["ac", "gr", "k", "th", "u", "rd", "rs"]
@@ -655,56 +650,98 @@ PYROLYSIS = ["s1", "s2", "s3", "tmax"]
 
 
 def held_out_by(spark, sf, booster: M.Booster, features, table: DataFrame | None = None, seed: int = 0):
-    """Fit on one seed's TRAIN rows; TEST rows with the prediction, and the run."""
+    """Fit on one seed's TRAIN rows; TEST rows with the prediction, and the trees."""
     df = (samples(spark, sf) if table is None else table).select("sample_id", "toc", *features)
-    cuts = P.find_cuts(df, [seed], TEST_SIZE)
-    rows = P.assign_splits(df, cuts)
-    model = M.fit_booster(train_of(rows), features, "toc", booster, seed)
-    run = M.Run("study", seed, tuple(features), booster, model)
-    scored, (pred,) = M.score_runs(test_of(rows), [run])
-    return scored.select("seed", "sample_id", F.col("toc").alias("y_true"), F.col(pred).alias("y_pred")), run
+    cut = P.find_cuts(df, [seed], TEST_SIZE)[None, seed]
+    held = M.in_validation(seed, F.col("sample_id"), booster.validation_fraction) if booster.stopping != "none" else F.lit(False)
+    train = P.part_of(cut, seed, "sample_id") == P.TRAIN
+    job = B.Job("study", seed, tuple(features), F.when(train & held, B.HELD).when(train, B.FIT).otherwise(B.OUT))
+    forests = B.fit_many(df, [job], X.log_target("toc") if booster.log_target else F.col("toc"), booster)
+    scores = forests.scores().select(F.col("id").alias("sample_id"), F.col("scores")[0].alias("s")).where(F.col("s.part") == B.OUT)
+    margin = F.col("s.margin")
+    pred = X.unlog_target(margin) if booster.log_target else X.floor_at_zero(margin)
+    rows = df.join(scores, "sample_id").select(F.lit(seed).alias("seed"), "sample_id", F.col("toc").alias("y_true"), pred.alias("y_pred"))
+    return rows, forests
 
 
 @query()
-def gbt_log(spark, sf):
+def gbt_log(spark, sf, trees=None):
     """Log-target trees on the well-log features: metrics on TEST."""
-    rows, _ = held_out_by(spark, sf, shorter(M.LOG_BOOSTER), LOG_FEATURES)
+    rows, _ = held_out_by(spark, sf, sized_booster(M.LOG_BOOSTER, trees), LOG_FEATURES)
     return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
 
 
 @query()
-def gbt_raw(spark, sf):
+def gbt_raw(spark, sf, trees=None):
     """Raw-target trees: TEST predictions."""
-    rows, _ = held_out_by(spark, sf, shorter(M.RAW_BOOSTER), PYROLYSIS)
+    rows, _ = held_out_by(spark, sf, sized_booster(M.RAW_BOOSTER, trees), PYROLYSIS)
     return rows
 
 
 @query()
-def gbt_earlystop(spark, sf, trees=M.EARLY_STOP_BOOSTER.max_iter):
+def gbt_earlystop(spark, sf, trees=None):
     """Trees with missing values and a patience rule: metrics on TEST."""
     table = C.keep_finite(dirty(spark, sf), ["toc"])
-    rows, _ = held_out_by(spark, sf, shorter(M.EARLY_STOP_BOOSTER, trees), PYROLYSIS, table)
+    rows, _ = held_out_by(spark, sf, sized_booster(M.EARLY_STOP_BOOSTER, trees), PYROLYSIS, table)
     return A.metrics(rows, ["seed"], "y_true", {"base": "y_pred"})
 
 
 @query()
-def gbt_subsampled(spark, sf):
+def gbt_subsampled(spark, sf, trees=None):
     """Row and column subsampling: TEST predictions."""
-    rows, _ = held_out_by(spark, sf, shorter(M.SUBSAMPLED_BOOSTER), LOG_FEATURES)
+    rows, _ = held_out_by(spark, sf, sized_booster(M.SUBSAMPLED_BOOSTER, trees), LOG_FEATURES)
     return rows
 
 
 @query()
-def gbt_importance(spark, sf):
+def gbt_importance(spark, sf, trees=None):
     """Feature importance of a fitted run, largest first."""
-    _, run = held_out_by(spark, sf, shorter(M.LOG_BOOSTER), LOG_FEATURES)
-    return M.feature_importance(spark, [run])
+    _, forests = held_out_by(spark, sf, sized_booster(M.LOG_BOOSTER, trees), LOG_FEATURES)
+    return B.importances(forests.trees)
 
 
-def trained_networks(spark, sf):
-    """TEST rows (one per sample, three seeds as arrays) and a network per seed; the base is a line."""
+@query()
+def gbt_predict(spark, sf, trees=None):
+    """Predictions of stored trees of two runs for all samples, in one pass."""
+    df = samples(spark, sf).select("sample_id", "toc", *LOG_FEATURES)
+    cuts = P.find_cuts(df, SEEDS[:2], TEST_SIZE)
+    jobs = [B.Job("study", seed, tuple(LOG_FEATURES), F.when(P.part_of(cut, seed, "sample_id") == P.TRAIN, B.FIT)) for (_, seed), cut in cuts.items()]
+    stored = land(B.fit_many(df, jobs, X.log_target("toc"), sized_booster(M.LOG_BOOSTER, trees)).trees, scratch_path(spark, "trees"))
+    margins = F.posexplode("margins").alias("run", "margin")
+    return B.score(df, stored, [0, 1]).select("sample_id", margins).select("sample_id", "run", X.unlog_target(F.col("margin")).alias("y_pred"))
+
+
+HOLES = "CASE WHEN sample_id % 5 = 0 THEN NULL ELSE rs END"
+
+
+@query(f"""WITH {SPLIT2}, t AS (SELECT seed, toc, {HOLES} AS rs, u, depth FROM split WHERE split = 'train'),
+ mean AS (SELECT seed, avg(toc) AS base, count(*) AS n FROM t GROUP BY seed),
+ long AS (SELECT seed, toc - base AS g, n, unnest([1, 2, 3]) AS f, unnest([rs, u, depth]) AS x FROM t JOIN mean USING (seed)),
+ miss AS (SELECT seed, f, n, coalesce(sum(g) FILTER (x IS NULL), 0) AS gm, count(*) FILTER (x IS NULL) AS nm FROM long GROUP BY ALL),
+ hist AS (SELECT seed, f, x, sum(g) AS g, count(*) AS k FROM long WHERE x IS NOT NULL GROUP BY ALL),
+ cum AS (SELECT seed, f, x, sum(g) OVER w AS gl, sum(k) OVER w AS nl FROM hist WINDOW w AS (PARTITION BY seed, f ORDER BY x)),
+ side AS (SELECT c.seed, f, x, n, unnest([0, 1]) AS m, unnest([gl, gl + gm]) AS gl, unnest([nl, nl + nm]) AS nl FROM cum c JOIN miss USING (seed, f)),
+ best AS (SELECT *, gl*gl/(nl+1) + gl*gl/(n-nl+1) AS gain FROM side WHERE nl >= 20 AND n - nl >= 20
+  QUALIFY row_number() OVER (PARTITION BY seed ORDER BY gain DESC, f, m, x) = 1), whole AS (SELECT seed, base FROM mean)
+ SELECT seed, ['rs','u','depth'][f] AS feature, x AS cut, m = 1 AS missing_left, round(gain,4) AS gain,
+  round(0.1*gl/(nl+1),6) AS leaf_left, round(-0.1*gl/(n-nl+1),6) AS leaf_right, round(base,6) AS base FROM best JOIN whole USING (seed)""")
+def gbt_one_round(spark, sf):
+    """One split for each of ten seeds, fitted together: L2 term, least leaf, learned side of missing values."""
+    df = samples(spark, sf).select("sample_id", "toc", F.expr(HOLES).alias("rs"), "u", "depth")
+    cuts = P.find_cuts(df, SEEDS, TEST_SIZE)
+    jobs = [B.Job("study", seed, ("rs", "u", "depth"), F.when(P.part_of(cut, seed, "sample_id") == P.TRAIN, B.FIT)) for (_, seed), cut in cuts.items()]
+    booster = M.Booster(max_depth=1, max_iter=1, min_rows=20, step_size=0.1, log_target=False, l2=1.0, max_bins=254)
+    trees = B.fit_many(df, jobs, F.col("toc"), booster).trees
+    first = lambda c: F.col(c)[0].alias(c)
+    out = trees.select("seed", first("feature"), first("cut"), first("missing_left"), first("gain"),
+                       F.col("leaf")[0].alias("leaf_left"), F.col("leaf")[1].alias("leaf_right"), "base")
+    return rounded(out, gain=4)
+
+
+def trained_networks(spark, sf, epochs=None):
+    """TEST rows (one per sample, seeds as arrays) and a network per seed; the base is a line."""
     table = samples(spark, sf).select("sample_id", "toc", "s2", "s1", "depth")
-    cuts = P.find_cuts(table, P.seed_schedule(3), TEST_SIZE)
+    cuts = P.find_cuts(table, SEEDS, TEST_SIZE)
     fits = K.fit_together(train_of(P.assign_splits(table, cuts)), ["seed"], [
         K.baseline("toc", "depth"), K.refine_line("toc", "s2"), K.refine_cap("toc", "plain")]).collect()  # one row per seed
     terms = {r["seed"]: N.RunTerms(r["toc_max"], r["a_lin"], r["b_lin"]) for r in fits}
@@ -718,30 +755,30 @@ def trained_networks(spark, sf):
             F.transform("_in", lambda e: e["seed"]).alias("runs"),
             F.transform("_in", lambda e: X.floor_at_zero(line[e["seed"]]["a"] * F.col("depth") + line[e["seed"]]["b"])).alias("y_bases"))
 
-    weights, _ = N.train_networks(part(P.TRAIN), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=EPOCHS))
+    weights, _ = N.train_networks(part(P.TRAIN), 2, {s: s for s in terms}, terms, N.RefineConfig(epochs=epochs or N.RefineConfig().epochs))
     return part(P.TEST), weights
 
 
 @query()
-def refine_predict(spark, sf):
-    """Networks of three seeds trained together: TEST predictions."""
-    test, weights = trained_networks(spark, sf)
+def refine_predict(spark, sf, epochs=None):
+    """Networks of ten seeds trained together: TEST predictions."""
+    test, weights = trained_networks(spark, sf, epochs)
     each = F.explode(F.arrays_zip("runs", "y_bases", "y_refineds")).alias("e")
     return N.predict_networks(test, weights).select("sample_id", F.col("y").alias("y_true"), each).select(
         F.col("e.runs").alias("seed"), "sample_id", "y_true", F.col("e.y_bases").alias("y_base"), F.col("e.y_refineds").alias("y_refined"))
 
 
 @query()
-def monotone_violation(spark, sf):
+def monotone_violation(spark, sf, epochs=None):
     """How far each network breaks the rising relation to its features."""
-    test, weights = trained_networks(spark, sf)
+    test, weights = trained_networks(spark, sf, epochs)
     return N.monotone_violation(test, weights, [(0, 1), (1, 1)])
 
 
 def sized(cfg, trees=None, epochs=None):
     """A study's preset with other numbers of trees and epochs, where given."""
     refine = cfg.refine and replace(cfg.refine, epochs=epochs or cfg.refine.epochs)
-    return cfg.but(booster=shorter(cfg.booster, trees or cfg.booster.max_iter), refine=refine)
+    return cfg.but(booster=sized_booster(cfg.booster, trees), refine=refine)
 
 
 @query()

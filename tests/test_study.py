@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import holdfast as h
+from holdfast.operators import boosting as B
 from holdfast.operators import metrics as A
 from holdfast.operators import summary as S
+from holdfast.plans import study
 
 TINY = h.Booster(max_depth=2, max_iter=2, max_bins=16)
 
@@ -38,14 +40,18 @@ def test_multi_basin_study(spark, logs, tmp_path_factory):
     nets = r.networks.collect()
     assert {(x["setting"], x["seed"]) for x in nets} == {("Full", 0), ("Full", 1)}
     assert all(x["violation"] >= 0 and x["loss_last"] > 0 for x in nets)
-    best = {s: run.seed for s, run in r.best_runs.items()}
     full = r.metrics.where("mode = 'full'")
-    assert best == {x["setting"]: x["seed"] for x in S.best_seed(full).collect()}
+    assert r.best_runs == {x["setting"]: x["seed"] for x in S.best_seed(full).collect()}
     h.write_reports(r, out, key="k", label="l", source="s")
     assert spark.read.parquet(f"{out}/plot_cache/diagnostics").where("y_base IS NULL OR y_full IS NULL").count() == 0
-    from pyspark.ml.regression import GBTRegressionModel
-
-    assert GBTRegressionModel.load(f"{out}/models/best_Full").numFeatures == 12
+    best = spark.read.parquet(f"{out}/models/best_Full")
+    assert {(x["seed"], x["tree"]) for x in best.collect()} == {(r.best_runs["Full"], 0), (r.best_runs["Full"], 1)}
+    # the stored trees give the stored predictions of NoRes again
+    trees = r.models.where("setting = 'NoRes'").withColumn("run", F.col("seed"))
+    again = B.score(logs.table, trees, [0, 1]).select("sample_id", F.posexplode("margins").alias("seed", "margin"))
+    both = p.where("setting = 'NoRes'").join(again, ["sample_id", "seed"])
+    assert both.count() == 2 * sizes[0]["n_test"]
+    assert both.where("abs(y_base - greatest(expm1(margin), 0)) > 1e-9").count() == 0
     log = r.run_log.collect()
     assert len(log) == 4 and log[0]["metrics"]["base"]["r2_test"] is not None and log[0]["n_val"] > 0
     assert all(x["metrics_val"]["full"]["r2_val"] is not None and x["study"]["target"] == "TOC" for x in log)
@@ -75,11 +81,35 @@ def test_resume_adds_seeds(spark, logs, tmp_path_factory):
     assert {x["seed"] for x in r.predictions.select("seed").distinct().collect()} == {1}
     both = h.run_ablation(logs.table, base.but(seeds=[0, 1, 3]), out, resume=True)
     assert {x["seed"] for x in both.metrics.select("seed").distinct().collect()} == {0, 1, 3}
-    assert {run.seed for run in both.best_runs.values()} == {3}
+    best = both.metrics.where("mode = 'full'").orderBy(F.desc("r2"), "seed").first()["seed"]
+    assert both.best_runs == {"NoRes": best}
+    assert {x["seed"] for x in both.importances.select("seed").distinct().collect()} == {best}
     h.run_ablation(logs.table, base.but(seeds=[2]), out, clean_outputs=True)
     assert {x["seed"] for x in spark.read.parquet(f"{out}/predictions").select("seed").distinct().collect()} == {2}
 
 
+def test_a_crash_between_writes_leaves_nothing_half_done(spark, logs, tmp_path_factory, monkeypatch):
+    out = str(tmp_path_factory.mktemp("crash"))
+    cfg = h.AblationConfig(settings={"NoRes": logs.settings["NoRes"]}, seeds=[0, 1], target="TOC", val_size=0.15, booster=TINY, seeds_per_block=1)
+    write, calls = study.W.write_predictions, []
+
+    def fails(df, path, **options):
+        calls.append(path)
+        if len(calls) == 6:  # TEST of the second block is written, VAL is not
+            raise RuntimeError("lost")
+        write(df, path, **options)
+
+    monkeypatch.setattr(study.W, "write_predictions", fails)
+    with pytest.raises(RuntimeError):
+        h.run_ablation(logs.table, cfg, out)
+    monkeypatch.setattr(study.W, "write_predictions", write)
+    assert {x["seed"] for x in spark.read.parquet(f"{out}/predictions").select("seed").distinct().collect()} == {0, 1}
+    r = h.run_ablation(logs.table, cfg, out, resume=True)
+    assert {x["seed"] for x in r.val_metrics.select("seed").distinct().collect()} == {0, 1}
+    assert {x["seed"] for x in r.models.select("seed").distinct().collect()} == {0, 1}
+    assert spark.read.parquet(f"{out}/finished").count() == 2
+
+
 def pyrolysis(sample_table):
     return sample_table.select("sample_id", F.col("toc").alias(" TOC "), F.col("s2").alias("S2_mgHC_gRock"),
                                F.col("s1").cast("string").alias("S1"), F.col("tmax").alias("Tmax"),
@@ -105,15 +135,15 @@ def test_log_pyrolysis_study(spark, sample_table):
 def test_test_truth_never_reaches_the_fits(spark, sample_table):
     p = h.prepare_log_pyrolysis(pyrolysis(sample_table))
     cfg = h.log_pyrolysis(p.settings, n_repeats=2, target=p.target, s2_col=p.roles["S2"], use_refinement=False)
-    study = h.Study(p.table, cfg)
-    spoiled = p.table.withColumn("TOC", F.when(study.part("RockEval", 0) == "test", F.col("TOC") * 7).otherwise(F.col("TOC")))
+    whole = h.Study(p.table, cfg)
+    spoiled = p.table.withColumn("TOC", F.when(whole.part("RockEval", 0) == "test", F.col("TOC") * 7).otherwise(F.col("TOC")))
     other = h.Study(spoiled, cfg)
 
     def fit(s, seed):
         return tuple(s.constraints.where(f"seed = {seed}").select("a", "b", "toc_max").first())
 
-    assert fit(study, 0) == pytest.approx(fit(other, 0))
-    assert fit(study, 1) != pytest.approx(fit(other, 1))
+    assert fit(whole, 0) == pytest.approx(fit(other, 0))
+    assert fit(whole, 1) != pytest.approx(fit(other, 1))
 
 
 def hi_table(sample_table):
