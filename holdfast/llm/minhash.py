@@ -7,10 +7,10 @@ signature values; bands of them are the keys of candidate buckets.
 1. One scan gives each row its set's size, a 128-bit digest of the set, the band
    keys, and counts of the set's shingles in 256 cells. Rows with equal digests
    are one class; only classes go on.
-2. Star rounds compare every class of a bucket with one pivot of the bucket, so
-   a group of copies costs one comparison each. Linked classes are joined to
+2. Star rounds compare every class of a bucket with two pivots of the bucket, so
+   a group of copies costs two comparisons each. Linked classes are joined to
    components, and buckets that one component holds are done: links inside a
-   component decide nothing any more.
+   component decide nothing any more. Later rounds link components, not classes.
 3. What is left in different components is compared in full, in tiles of at most
    about 2 x ``TILE`` classes of a bucket. A tile's task holds the cell counts
    alone, whose difference bounds the sets' difference from below: most pairs
@@ -38,13 +38,29 @@ from holdfast.llm.text import BETWEEN_SPACE, U64, grams, mix, released, slices,
 from holdfast.session import drop, land, scratch_path
 
 ROWS = 6  # signature values per band, two from each permutation
-STARS = 3  # rounds that compare with one class per bucket before all remaining pairs
+STARS = 2  # rounds that compare with ``PIVOTS`` classes per bucket before all remaining pairs
+PIVOTS = 2
 CELLS = 256
 TILE = 256
 
 
+def agreement(similarity: float, least: int = 1000) -> float:
+    """How likely two linked but different sets share both ends of a permutation, at worst.
+
+    Of u shingles, i in common: i (i - 1) / (u (u - 1)), a little below the square of
+    i / u; lowest for small sets that just reach the threshold. A single common
+    shingle is never both ends, so thresholds of a half or less leave such pairs out.
+    """
+    worst = similarity**2
+    for u in range(2, least):
+        i = math.ceil(similarity * u - 1e-9)
+        if 1 < i < u:
+            worst = min(worst, i * (i - 1) / (u * (u - 1)))
+    return worst
+
+
 def n_bands(similarity: float, rows: int = ROWS, miss: float = 1e-6) -> int:
-    return math.ceil(math.log(miss) / math.log1p(-(similarity**rows)))
+    return math.ceil(math.log(miss) / math.log1p(-(agreement(similarity) ** (rows // 2))))
 
 
 def shingle_sets(hashes: np.ndarray, first_word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -163,9 +179,7 @@ def _confirm(percent: int):
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 linked[i] = 100 * common >= percent * (len(x) + len(y) - common)
             keep = pa.array(linked)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("la", "lb")], names=["a", "b"])
 
     return released(run)
 
@@ -186,9 +200,10 @@ def _tile_pairs(percent: int):
             most = (size[right] + size[i] - apart) / 2
             near = 100 * most >= percent * (size[right] + size[i] - most)
             near &= label[right] != label[i]
-            found += [(min(number[i], number[j]), max(number[i], number[j])) for j in right[near]]
-        a, b = (np.array(x, dtype=np.int64) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            ends = ((i, j) if number[i] < number[j] else (j, i) for j in right[near])
+            found += [(number[i], number[j], label[i], label[j]) for i, j in ends]
+        columns = [np.array(x, dtype=np.int64) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "la", "lb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -254,26 +269,30 @@ class _Run:
         every = classes.select("class", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
         shared = every.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         shared = self.land(shared.select("band", "key"), "shared")
-        return self.land(every.join(shared, ["band", "key"]).withColumn("label", F.col("class")), "members")
+        out = self.land(every.join(shared, ["band", "key"]).withColumn("label", F.col("class")), "members")
+        self.drop(shared)
+        return out
 
     def star(self, members: DataFrame, turn: int) -> DataFrame:
-        """Pairs of members with one pivot of their bucket, in different components."""
-        lead = F.min(F.struct(F.xxhash64(F.lit(turn), "class") if turn else F.lit(0), "class", "n", "label"))
-        pivots = members.groupBy("band", "key").agg(lead.alias("p"))
-        pivots = self.land(pivots.select("band", "key", "p.class", "p.n", "p.label").toDF("band", "key", "c", "m", "l"), "pivots")
+        """Pairs (a, b) of members with pivots of their bucket, and their components' labels (la, lb), where these differ."""
+        lead = lambda i: F.min(F.struct(F.xxhash64(F.lit(i), "class") if i else F.lit(0).cast("long"), "class", "n", "label"))
+        leads = [lead(turn * PIVOTS + i).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = members.groupBy("band", "key").agg(*leads, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        plain = [F.struct(f"p{i}.class", f"p{i}.n", f"p{i}.label") for i in range(PIVOTS)]
+        pivots = pivots.select("band", "key", F.explode(F.array_distinct(F.array(*plain))).alias("p"))
+        pivots = pivots.select("band", "key", "p.class", "p.n", "p.label").toDF("band", "key", "c", "m", "l")
         alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
         pairs = members.join(pivots, ["band", "key"]).filter((F.col("label") != F.col("l")) & alike)
-        return pairs.select(F.least("class", "c").alias("a"), F.greatest("class", "c").alias("b")).distinct()
-
-    def alive(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Members with their components' labels, of buckets with more than one."""
-        labels = labels.select(F.col("id").alias("class"), F.col("label").alias("joined"))
-        now = members.join(labels, "class", "left")
-        now = self.land(now.select("band", "key", "class", "n", F.coalesce("joined", "class").alias("label")), "labelled")
-        mixed = now.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = self.land(mixed.filter("low < high").select("band", "key"), "mixed")
-        out = self.land(now.join(mixed, ["band", "key"]), "members")
-        self.drop(now, mixed, members)
+        first = F.col("class") < F.col("c")
+        ends = [F.when(first, x).otherwise(y) for x, y in ((F.col("class"), F.col("c")), (F.col("c"), F.col("class")), (F.col("label"), F.col("l")), (F.col("l"), F.col("label")))]
+        return pairs.select(*[e.alias(n) for e, n in zip(ends, ("a", "b", "la", "lb"))]).distinct()
+
+    def merged(self, members: DataFrame, joined: DataFrame) -> DataFrame:
+        """Members with the labels of what their components were joined to."""
+        joined = joined.select(F.col("id").alias("label"), F.col("label").alias("joined"))
+        out = members.join(joined, "label", "left").select("band", "key", "class", "n", F.coalesce("joined", "label").alias("label"))
+        out = self.land(out, "members")
+        self.drop(members)
         return out
 
     def tiles(self, members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -284,8 +303,8 @@ class _Run:
         """
         per_label = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
         shape = per_label.groupBy("band", "key").agg(
-            F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("size")
-        )
+            F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("labels")
+        ).filter("labels > 1")
         pieces = lambda size: F.ceil(size / F.lit(TILE)).cast("int")
         shape = shape.select(
             "band",
@@ -315,7 +334,7 @@ class _Run:
         )
         with_cells = spread.join(classes.select("class", "cells"), "class")
         dealt = with_cells.repartition("tile").sortWithinPartitions("tile")
-        return dealt.mapInArrow(_tile_pairs(self.percent), "a long, b long").distinct()
+        return dealt.mapInArrow(_tile_pairs(self.percent), "a long, b long, la long, lb long").distinct()
 
     def sets(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """(class, shingles) of the classes in pairs, from a scan of the texts."""
@@ -329,14 +348,15 @@ class _Run:
         return found
 
     def links(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-        """The pairs that are similar enough, confirmed on their full sets."""
+        """Components (a, b) with a pair that is similar enough, confirmed on the full sets."""
         sets = self.sets(pairs, classes)
         both = (
             pairs.join(sets.withColumnsRenamed({"class": "b", "shingles": "shingles_b"}), "b")
             .join(sets.withColumnsRenamed({"class": "a", "shingles": "shingles_a"}), "a")
-            .select("a", "b", "shingles_a", "shingles_b")
+            .select("la", "lb", "shingles_a", "shingles_b")
         )
-        out = self.land(both.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+        found = both.mapInArrow(_confirm(self.percent), "a long, b long")
+        out = self.land(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
         self.drop(sets, pairs)
         return out
 
@@ -359,21 +379,22 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     rows = run.sketch()
     classes = run.classes(rows)
     members = run.members(classes)
-    links = run.land(run.spark.createDataFrame([], "a long, b long"), "links")
-    labels = run.spark.createDataFrame([], "id long, label long")
+    # a class' label, as far as its components were joined in each turn
+    group = classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "least_id", F.col("class").alias("label"))
     for turn in range(STARS + 1):
-        if members.isEmpty():
+        if turn == 0 and members.isEmpty():
             break
         pairs = run.land(run.star(members, turn) if turn < STARS else run.tiles(members, classes), "pairs")
         if pairs.isEmpty():
             continue
-        links = links.union(run.links(pairs, classes))
-        labels = components(links)
+        links = run.links(pairs, classes)
+        if links.isEmpty():
+            continue
+        joined = run.land(components(links), "joined")
+        now = joined.select(F.col("id").alias("label"), F.col("label").alias("joined"))
+        group = group.join(now, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
         if turn < STARS:
-            members = run.alive(members, labels)
-    labels = labels.select(F.col("id").alias("class"), "label")
-    group = classes.select("set_a", "set_b", F.col("n_shingles").alias("n"), "class", "least_id").join(labels, "class", "left")
-    group = group.withColumn("label", F.coalesce("label", "class"))
+            members = run.merged(members, joined)
     least = group.groupBy("label").agg(F.min("least_id").alias("component_id"))
     group = run.land(group.join(least, "label").select("set_a", "set_b", "n", "component_id"), "groups")
     same = (rows["set_a"] == group["set_a"]) & (rows["set_b"] == group["set_b"]) & (rows["n_shingles"] == group["n"])
@@ -381,7 +402,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80) -> Da
     out = rows.join(group, same, "left").select(
         "doc_id", "text_hash", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = land(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), scratch_path(run.spark, "near-duplicates"))
+    drop(run.spark, *run.paths.values())
+    return found
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -80,6 +80,17 @@ def test_bands_miss_next_to_nothing():
         assert (1 - similarity**minhash.ROWS) ** bands <= 1e-6
 
 
+def test_small_sets_agree_less_and_are_not_missed(spark):
+    """Of five shingles four in common: every such pair among all pairs is found."""
+    assert minhash.agreement(0.8) == pytest.approx(0.6) and minhash.agreement(0.85) < 0.85**2
+    docs = []
+    for i in range(0, 600, 2):
+        w = [f"{i}w{k}" for k in range(9)]
+        docs += [(i, " ".join(w[:8])), (i + 1, " ".join([*w[:8], w[8]]))]  # 4 and 5 shingles of five words
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_signature_agreement_is_the_similarity():
     shared, a, b = (np.random.default_rng(i).integers(0, 2**63, n).astype(np.uint64) for i, n in ((0, 800), (1, 100), (2, 100)))
     values = np.concatenate([np.sort(np.r_[shared, a]), np.sort(np.r_[shared, b])])
