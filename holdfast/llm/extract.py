@@ -2,11 +2,15 @@
 
 A page becomes blocks: runs of text between block-level tags, outside scripts,
 styles and containers that say by tag, role or style that they are not the
-article. A class or id is a hint only: an article inside is free of it, inside an
+article. An article or main part inside a menu, header or form ends that, since the
+tag around it was left open or spans the page; a form around the page is a hint. A
+class or id is a hint only: an article inside is free of it, inside an
 article it counts for what holds no good block, and where nothing good would be
-left it does not count. Pass one looks at each block alone: a high share of links
-is bad, a good length with a good share of stop words or with few links is good, all
-else is open. The stop words are those of four languages; on a page that hardly has
+left it does not count. Names of adverts, notices and the like count for good blocks
+too, and those of reader comments also for the articles inside. Pass one looks at
+each block alone: a high share of links is bad (in a marked article, links and
+nothing else), a good length with a good share of stop words or with few links is
+good, all else is open. The stop words are those of four languages; on a page that hardly has
 any, a shorter length with few links is enough. Their absence never makes a block
 bad. Pass two gives every open block the label of the nearest decided block on its
 side: blocks of marked articles look at each other, and the rest at the rest. Without
@@ -18,6 +22,7 @@ stay wherever they are.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -33,22 +38,35 @@ BLOCK_TAGS = frozenset(
     "section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset(
-    "article aside blockquote body button details dialog div dl fieldset figure footer form head header html main menu nav ol "
-    "section select span table tbody ul object svg template noscript iframe".split()
+    "article aside blockquote body button dd details dialog div dl dt fieldset figure footer form head header html li main menu nav ol "
+    "section select span table tbody td th tr ul object svg template noscript iframe".split()
 )
-RAW_TAGS = frozenset("script style title textarea xmp noembed noframes iframe math svg template noscript canvas video audio".split())
-OUTSIDE_TAGS = frozenset("nav footer aside form menu dialog head button select fieldset".split())
+IMPLIED_ENDS = {  # an opening tag ends an open one of these, unless one of the others is in between
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}),
+}
+RAW_TAGS = frozenset("script style title textarea xmp noembed noframes iframe svg template noscript canvas video audio".split())
+OUTSIDE_TAGS = frozenset("nav footer aside menu dialog head button select fieldset".split())
+AROUND_TAGS = frozenset("nav menu header form".split())  # may be left open, or span a page
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+AROUND_ROLES = frozenset("navigation banner search form menu menubar".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notification "
     "overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing "
     "sidebar signup social sponsor sponsored subscribe tags teaser toolbar widget widgets".split()
 )
+NEVER_WORDS = frozenset(  # of those, names of what is never the article, however long its text
+    "ad ads advert adverts advertisement advertising consent cookie cookies disqus gdpr login newsletter notice notification "
+    "popup promo promoted promotion sidebar signup sponsor sponsored subscribe".split()
+)
+COMMENT_WORDS = frozenset("disqus replies reply respond".split())
+NO_COMMENT_WORDS = frozenset("commentaries commentary commentator commentators commented commenting".split())
 LAYOUT_WORDS = frozenset(  # a name with one of them tells what the page looks like, or its subject
     "body category closed content disabled enabled fixed format has is layout main no off on open opened page site status tag "
     "type with without wrap wrapped wrapper".split()
 )
+PLACE_WORDS = frozenset("main page site".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has have he in is it its not of on or that the their there they this to was were which with you "
@@ -72,7 +90,9 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_NAME_WORD = re.compile(r"[a-z]+")
+_NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")  # userComments has two
+NAMED, NEVER, COMMENTS = 1, 2, 3  # how much a name says that an element is not the article
+REACH = 32  # open elements among which an implied end is looked for
 _WORD = re.compile(r"\w+")
 _IDEOGRAPHS = re.compile("[\u1100-\u11ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -85,6 +105,17 @@ class Block:
     article: bool
     hint: int = 0  # number of the element whose class or id says it is not the article; 0 without
     top: bool = False  # a heading of the first level
+    never: bool = False  # its name is one that good blocks do not outweigh
+
+
+@dataclass
+class _Element:
+    tag: str
+    outside: bool
+    around: bool  # outside by a tag or role that an article inside ends
+    article: bool
+    hint: int
+    kind: int  # of the hint
 
 
 @dataclass
@@ -92,26 +123,20 @@ class _Page:
     """State of one pass over a page's tags."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[tuple[str, bool, bool, int]] = field(default_factory=list)  # tag, outside, article, hint
+    stack: list[_Element] = field(default_factory=lambda: [_Element("", False, False, False, 0, 0)])
+    opened: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     links: int = 0
     block_outside: bool = False  # the tag that opened this block says it is not the article
     block_hint: int = 0
+    block_never: bool = False
     block_top: bool = False
     hints: int = 0
 
     @property
     def outside(self) -> bool:
-        return self.block_outside or bool(self.stack and self.stack[-1][1])
-
-    @property
-    def article(self) -> bool:
-        return bool(self.stack and self.stack[-1][2])
-
-    @property
-    def hint(self) -> int:
-        return self.stack[-1][3] if self.stack else 0
+        return self.block_outside or self.stack[-1].outside
 
     def text(self, raw: str) -> None:
         if not self.outside:
@@ -121,46 +146,95 @@ class _Page:
                 self.linked += len("".join(raw.split()))
 
     def close(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text, here = " ".join("".join(self.parts).split()), self.stack[-1]
         if text:
-            self.blocks.append(Block(text, self.linked, self.article, self.hint or self.block_hint, self.block_top))
+            never = here.kind >= NEVER if here.hint else self.block_never
+            self.blocks.append(Block(text, self.linked, here.article, here.hint or self.block_hint, self.block_top, never))
         self.parts, self.linked, self.block_outside, self.block_hint, self.block_top = [], 0, False, 0, False
+        self.block_never = False
 
     def open_tag(self, tag: str, attributes: str) -> None:
-        outside, article, named = self._says(tag, attributes)
-        self.hints += named
+        if tag in IMPLIED_ENDS:
+            self._end_implied(*IMPLIED_ENDS[tag])
+        here = self.stack[-1]
+        outside, around, article, main, kind = self._says(tag, attributes, here.article)
+        self.hints += kind > 0
         if tag in CONTAINERS:
-            inside = article or self.article and not (named and tag == "article")
-            hint = 0 if article and not self.article else self.hint or self.hints * named
-            if outside != self.outside or article != self.article or hint != self.hint:
+            inside = article or here.article and not (kind and tag == "article")
+            free = article and (main or (not here.article and here.kind < COMMENTS))
+            if free:
+                hint, named = 0, 0
+            elif kind > here.kind:
+                hint, named = self.hints, kind
+            else:
+                hint, named = here.hint, here.kind
+            still, still_around = here.outside, here.around
+            if article and here.around:
+                still = still_around = False
+            now = _Element(tag, outside or still, around if outside and not still else still_around and not outside, inside, hint, named)
+            if (now.outside, now.article, now.hint) != (here.outside, here.article, here.hint):
                 self.close()
-            self.stack.append((tag, outside or self.outside, inside, hint))
+            self.stack.append(now)
+            self.opened[tag] += 1
         elif tag in BLOCK_TAGS:
-            self.block_outside, self.block_hint, self.block_top = outside, self.hints * named, tag == "h1"
+            self.block_outside, self.block_top = outside, tag == "h1"
+            self.block_hint, self.block_never = self.hints * (kind > 0), kind >= NEVER
+
+    def _pop(self) -> str:
+        tag = self.stack.pop().tag
+        self.opened[tag] -= 1
+        return tag
 
     def close_tag(self, tag: str) -> None:
-        if tag in CONTAINERS and any(t == tag for t, *_ in self.stack):
-            while True:
-                if self.stack.pop()[0] == tag:
-                    break
-
-    def _says(self, tag: str, attributes: str) -> tuple[bool, bool, bool]:
-        """Whether a tag opens something outside the article, whether the article, and whether its names hint at the outside."""
-        article = tag in ("article", "main")
-        outside, hinted = tag in OUTSIDE_TAGS or (tag == "header" and not self.article), False
+        if tag in CONTAINERS and self.opened[tag]:
+            while self._pop() != tag:
+                pass
+
+    def _end_implied(self, ends: set[str], bounds: set[str]) -> None:
+        for place in range(len(self.stack) - 1, max(len(self.stack) - 1 - REACH, 0), -1):
+            if self.stack[place].tag in bounds:
+                return
+            if self.stack[place].tag in ends:
+                while len(self.stack) > place:
+                    self._pop()
+                return
+
+    def _says(self, tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool, int]:
+        """Whether a tag opens something outside the article, which an article inside would end; whether
+        an article, or the main part; and how much its names hint at the outside."""
+        main, article = tag == "main", tag in ("article", "main")
+        outside = tag in OUTSIDE_TAGS or (tag == "header" and not inside) or (tag == "form" and inside)
+        around, kind = outside and not inside and tag in AROUND_TAGS, NAMED * (tag == "form" and not inside)
         if attributes and not attributes.isspace():
             values = {k.lower(): (v[1:-1] if v[:1] in "\"'" else v) for k, v in _ATTRIBUTE.findall(attributes)}
             roles = values.get("role", "").lower().split()
-            article = article or "main" in roles or "article" in roles
+            main = main or "main" in roles
+            article = article or main or "article" in roles
             hidden = "hidden" in values or values.get("aria-hidden", "").lower() == "true"
             hidden = hidden or bool(_HIDDEN.search(values.get("style", "")))
             if tag not in ("html", "body", "main") and tag not in HEADINGS and "main" not in roles:
-                names = [_NAME_WORD.findall(x) for x in f"{values.get('class', '')} {values.get('id', '')}".lower().split()]
-                hinted = any(not OUTSIDE_WORDS.isdisjoint(x) and LAYOUT_WORDS.isdisjoint(x) for x in names)
-            if tag not in ("html", "body", "main", "article"):
-                outside = outside or (not article and not OUTSIDE_ROLES.isdisjoint(roles))
-            outside = outside or hidden
-        return outside, article and not hinted, hinted
+                names = f"{values.get('class', '')} {values.get('id', '')}".split()
+                kind = max([kind, *(_kind([w.lower() for w in _NAME_WORD.findall(x)]) for x in names)])
+            if tag not in ("html", "body", "main", "article") and not article and not OUTSIDE_ROLES.isdisjoint(roles):
+                around = not inside and (around or not outside) and AROUND_ROLES.issuperset(OUTSIDE_ROLES.intersection(roles))
+                outside = True
+            if hidden:
+                outside, around = True, False
+        hinted = kind > 0
+        return outside, around, article and not hinted, main and not hinted, kind
+
+
+def _kind(words: list[str]) -> int:
+    """What a class or id name, in words, says of an element."""
+    if words and words[-1] in NEVER_WORDS:  # site-ad, page-sidebar
+        words = [w for w in words if w not in PLACE_WORDS]
+    if not LAYOUT_WORDS.isdisjoint(words):
+        return 0
+    for w in words:
+        comment = w.startswith("comment") or w.endswith(("comment", "comments"))
+        if w in COMMENT_WORDS or comment and w not in NO_COMMENT_WORDS:
+            return COMMENTS
+    return NEVER if not NEVER_WORDS.isdisjoint(words) else NAMED if not OUTSIDE_WORDS.isdisjoint(words) else 0
 
 
 def blocks(html: str) -> list[Block]:
@@ -209,7 +283,7 @@ def first_pass(block: Block, known: bool = True) -> bool | None:
     """Good, bad or open, from the block alone and whether the page's language is known."""
     letters = len(block.text.replace(" ", ""))
     if block.linked > LINKS * letters:
-        return False
+        return None if block.article and block.linked < letters else False
     size = len(block.text) if block.text.isascii() else len(block.text) + (DENSE - 1) * len(_IDEOGRAPHS.findall(block.text))
     if size >= (LONG if known else SHORT) and block.linked <= FEW_LINKS * letters:
         return True
@@ -239,9 +313,10 @@ def second_pass(labels: list[bool | None]) -> list[bool]:
 
 
 def unhinted(found: list[Block], labels: list[bool | None]) -> list[Block]:
-    """Blocks that no name takes away: in an article, elements with a good block stay; elsewhere none does, if a good one is left."""
-    content = {b.hint for b, label in zip(found, labels) if b.article and label}
-    kept = [not b.hint or (b.article and b.hint in content) for b in found]
+    """Blocks that no name takes away: in an article, elements with a good block stay, but those of
+    adverts, notices and comments; elsewhere none does, if a good one is left."""
+    content = {b.hint for b, label in zip(found, labels) if b.article and label and not b.never}
+    kept = [not b.hint or (b.article and not b.never and b.hint in content) for b in found]
     if not any(k and (label or b.article) for b, label, k in zip(found, labels, kept)) and True in labels:
         return found
     return [b for b, k in zip(found, kept) if k]

@@ -186,6 +186,51 @@ def test_marked_articles_are_evidence(html, text):
     assert extract.main_text(html) == text
 
 
+Q = "I have read this with great interest and must say that it is not at all what we were told. " * 4
+GOLD = [
+    (f"<form id=aspnetForm><article><p>{PROSE}</p></article></form>", PROSE.strip()),
+    (f"<form id=aspnetForm><div><p>{PROSE}</p><p>end</p></div></form>", f"{PROSE.strip()}\nend"),
+    (f"<nav><ul><li><a href=a>x</a><article><p>{PROSE}</p></article>", PROSE.strip()),
+    (f"<header><div><main><p>{PROSE}</p></main>", PROSE.strip()),
+    (f"<aside><article><p>{PROSE}</p></article></aside><article><p>short</p></article>", "short"),
+    (f"<article><p>{PROSE}</p><form><p>{Q}</p></form><section class=comments><p>{Q}</p></section></article>", PROSE.strip()),
+    (f"<main><article><p>{PROSE}</p></article><section id=comments><h2>Comments</h2><p>{Q}</p></section></main>", PROSE.strip()),
+    (f"<article><p>{PROSE}</p></article><div class=comments><article><p>{Q}</p></article></div>", PROSE.strip()),
+    (f"<article><p>{PROSE}</p><ol class=commentlist><li class=comment><p>{Q}</p><p>{Q}</p><li class=comment><p>{Q}</ol><p>fin</p></article>", f"{PROSE.strip()}\nfin"),
+    (f"<article><p>{PROSE}</p><div class=userComments><p>{Q}</p></div></article>", PROSE.strip()),
+    (f"<article><p>{PROSE}</p><table><tr><td class=comment><p>{Q}</p><td><p>cell</p></table></article>", f"{PROSE.strip()}\ncell"),
+    (f"<article class=commentary><p>{PROSE}</p><div class=notice><p>{Q}</p></div><div class='site-ad'>{Q}</div></article>", PROSE.strip()),
+    (f"<div class=notice><p>{PROSE}</p></div>", PROSE.strip()),
+    (f"<article><p>{PROSE}</p><p>See <a href=x>the whole report of the inquiry</a></p><p><a href=y>More of this</a></p></article>", f"{PROSE.strip()}\nSee the whole report of the inquiry"),
+    (f"<article><p>{PROSE}</p><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", f"{PROSE.strip()}\nso x=2"),
+    (f"<article><p>{PROSE}</p><div hidden><article><p>{Q}</p></article></div></article>", PROSE.strip()),
+    (f"<div class=top><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div id=content><h1>T</h1><p>{PROSE}</p></div><div id=footer><p>{Q}</p></div>", f"T\n{PROSE.strip()}"),
+    (f"<article><p>{PROSE}<div><div>inner</p></section></div>more</article><footer>{Q}", f"{PROSE.strip()}\ninner\nmore"),
+]
+
+
+@pytest.mark.parametrize("html, text", GOLD)
+def test_layouts(html, text):
+    assert extract.main_text(html) == text
+
+
+def test_deep_and_unclosed_pages_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        begun = time.process_time()
+        assert extract.main_text("<div>" * n + "</ul><li>" * n + f"<p>{PROSE}</p>") == PROSE.strip()
+        return time.process_time() - begun
+
+    seconds(500)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.05)
+
+
+def test_a_very_long_page():
+    page = f"<article><p>{PROSE}</p></article>" * 3000
+    assert extract.main_text(page) == "\n".join([PROSE.strip()] * 3000)
+
+
 def test_open_blocks_take_the_nearest_label():
     assert extract.second_pass([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert extract.second_pass([True, None, False]) == [True, True, False]
