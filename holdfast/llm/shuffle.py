@@ -5,6 +5,10 @@ two permutes each bucket on its own (Spark's ``shuffle`` is a Fisher-Yates) and
 writes it. Buckets in order, each in its permuted order, are one uniform
 permutation of the table; shard s holds its positions from ceil(s * n / shards)
 on, so shards' row counts differ by one at most and nothing is sorted by shard.
+
+Records equal in all columns would share a bucket. Where there are more than
+``COPIES`` with one id and text, equal ones are counted and each copy gets a number
+that goes into its hash, so they spread over the buckets like any others.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from holdfast.session import drop, land, scratch_path
 
 SHARDS = 24
 BUCKET_BYTES = 8 << 20
+COPIES = 1024  # records of one id and text that may share a bucket
 _GROUP = 1024  # buckets summed together before their sums are added up
 
 
@@ -32,6 +37,22 @@ def _before(counts: DataFrame) -> DataFrame:
     return running.join(parts, "part").select("bucket", (F.col("base") + F.col("run")).alias("before"))
 
 
+def _numbered(keyed: DataFrame, path: str, seed: int) -> DataFrame:
+    """``keyed`` with copies beyond number told apart; as it is where there are none."""
+    many = keyed.groupBy(F.col("record.h").alias("many")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > COPIES).select("many")
+    many = land(many, path)
+    if many.isEmpty():
+        return keyed
+    same = F.col("record.h") == F.col("many")
+    counted = keyed.join(many, same, "left_semi").groupBy("record").agg(F.count(F.lit(1)).alias("n"))
+    # in two steps, so that no task writes out a large group alone
+    runs = counted.select("record", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))).alias("low"))
+    runs = runs.repartition(F.col("record.h"), "low")
+    copies = runs.select("record", F.explode(F.sequence("low", F.least(F.col("low") + COPIES, "n") - 1)).alias("copy"))
+    told = copies.select(F.struct(F.xxhash64(F.lit(seed), "record.h", "copy").alias("h"), F.col("record.row").alias("row")).alias("record"))
+    return keyed.join(many, same, "left_anti").union(told)
+
+
 def shuffle_to_shards(
     docs: DataFrame, folder: str, *, shards: int = SHARDS, seed: int = 11, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
@@ -41,7 +62,8 @@ def shuffle_to_shards(
     of columns of these names. The place of a record depends on the seed, its
     bucket's contents and nothing else; rows equal in all columns take each
     other's places. Null texts and ids are kept as they are. More shards than rows
-    leave the last ones empty; an empty table writes none.
+    leave the last ones empty; an empty table writes none. Columns must be
+    comparable where more than ``COPIES`` rows have one id and text.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -50,9 +72,9 @@ def shuffle_to_shards(
     buckets = int(total // bucket_bytes) + 1
     keyed = docs.select(
         F.struct(F.xxhash64(F.lit(seed), "doc_id", text).alias("h"), F.struct("*").alias("row")).alias("record")
-    ).withColumn("bucket", F.pmod("record.h", F.lit(buckets)))
-
-    path = scratch_path(spark, "buckets")
+    )
+    path, copies_path = scratch_path(spark, "buckets"), scratch_path(spark, "copies")
+    keyed = _numbered(keyed, copies_path, seed).withColumn("bucket", F.pmod("record.h", F.lit(buckets)))
     counts = land(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), path)
     rows = counts.agg(F.sum("n")).first()[0] or 0
     # rows travel as they are; a bucket becomes an array only where it is complete
@@ -71,7 +93,7 @@ def shuffle_to_shards(
         .drop("_position")
     )
     placed.write.partitionBy("shard").parquet(f"{folder}/shards")
-    drop(spark, path)
+    drop(spark, path, copies_path)
     return spark.read.schema(placed.schema).parquet(f"{folder}/shards")
 
 

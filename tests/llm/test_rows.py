@@ -452,6 +452,28 @@ def test_shards_are_even_permuted_and_repeatable(spark):
     assert sorted(map(tuple, other), key=str) != sorted(((r.doc_id, r.shard, r.slot) for r in got), key=str)
 
 
+def test_a_row_repeated_very_often_spreads_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(shuffle, "COPIES", 64)
+    seen = []
+    take = shuffle._before
+    monkeypatch.setattr(shuffle, "_before", lambda counts: seen.append(counts.toPandas()["n"].max()) or take(counts))
+    same = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("again and again").alias("text"), (F.col("id") % 2).alias("extra"))
+    df = same.union(spark.range(500).select("id", F.concat(F.lit("t"), "id"), F.lit(None).cast("long")))
+    one, two = (
+        sorted((r.doc_id, r.text, r.extra or -1, r.shard, r.slot) for r in shuffle.shuffle_to_shards(x, scratch_path(spark, "s"), bucket_bytes=1 << 14).collect())
+        for x in (df, df.repartition(7))
+    )
+    assert one == two and Counter(x[:3] for x in one) == Counter((r.doc_id, r.text, r.extra or -1) for r in df.collect())
+    assert max(seen) < 2 * 30_500 * 23 / (1 << 14) * 1024 and max(seen) < 1200
+    assert Counter(x[3] for x in one).most_common()[0][1] - Counter(x[3] for x in one).most_common()[-1][1] <= 1
+
+
+def test_one_very_long_text_in_shards(spark):
+    df = docs(spark, [(0, "long " * 400_000, None, None), (1, "short", None, None), (2, None, None, None)])
+    got = shuffle.shuffle_to_shards(df, scratch_path(spark, "s"), shards=2, bucket_bytes=1 << 10).collect()
+    assert sorted((r.doc_id, len(r.text or "")) for r in got) == [(0, 2_000_000), (1, 5), (2, 0)]
+
+
 def test_few_or_no_rows_in_shards(spark):
     df = docs(spark, [(i, None, None, None) for i in range(5)])
     got = shuffle.shuffle_to_shards(df, scratch_path(spark, "s")).collect()
