@@ -30,7 +30,7 @@ from holdfast.plans.prepare import prepare_log_pyrolysis, prepare_multi_basin, p
 from holdfast.plans.study import run_ablation
 from holdfast.session import land, scratch_path
 from holdfast.sources import sinks as W
-from holdfast.sources.readers import read_csv, read_csv_any_encoding, read_predictions, trim_headers
+from holdfast.sources.readers import find_dataset, read_csv, read_csv_any_encoding, read_predictions, trim_headers
 from holdfast.sources.samples import LOG_ROLES
 from holdfast.sources.samples import samples as scan_samples
 
@@ -626,6 +626,41 @@ def run_log(spark, sf):
                               F.col("metrics.full.rmse_test").alias("rmse_full"), "modes"))
 
 
+@query(f"""WITH {METRICS} SELECT m.setting, m.seed, round(max(CASE WHEN mode='full' THEN r2 END),6) AS r2_full, round(any_value(f.a),6) AS a,
+ round(any_value(f.b),6) AS b, round(any_value(f.toc_max),8) AS toc_max, 'line' AS kind, 'train_only' AS constraint_fitted_on
+ FROM met m JOIN fit f USING (seed) GROUP BY m.setting, m.seed""")
+def run_log_constraints(spark, sf):
+    """The nested run log with the constraint that was fitted for each run."""
+    train = train_of(two_way(spark, sf, "toc", "s2"))
+    fits = land(K.fit_together(train, ["seed"], [K.line_and_cap("toc", "s2")]), scratch_path(spark, "fits"))
+    m = run_metrics(spark, sf)
+    info = {s: {"features": [x], "constraint_cfg": {"kind": "line"}} for s, x in (("NoRes", "depth"), ("Full", "ac"))}
+    log = W.run_log(m, m.groupBy("setting", "seed").agg(F.count(F.lit(1)).alias("modes")), info, fits)
+    return rounded(log.select("setting", "seed", F.col("metrics.full.r2_test").alias("r2_full"), "constraint_params.a", "constraint_params.b",
+                              "constraint_params.toc_max", F.col("constraint_cfg")["kind"].alias("kind"), "constraint_fitted_on"), toc_max=8)
+
+
+@query(f"WITH {SAMPLES} SELECT sample_id, round(toc,6) AS toc FROM samples WHERE sample_id % 3 > 0")
+def dataset_discovery(spark, sf):
+    """Of several files below a folder, the one most like a dataset by name, then by size."""
+    folder = scratch_path(spark, "discovery")
+    rows = samples(spark, sf).select("sample_id", "toc").where("sample_id % 3 > 0")
+    for name, table in (("notes", samples(spark, sf)), ("old_dataset_toc", rows.where("sample_id % 2 = 0")), ("dataset_toc", rows)):
+        table.coalesce(1).write.option("header", True).csv(f"{folder}/{name}")
+        rename_only_file(spark, f"{folder}/{name}", "csv", f"{folder}/{name}.csv")
+    found = read_csv(spark, find_dataset(spark, folder))
+    return rounded(found.select(F.col("sample_id").cast("bigint").alias("sample_id"), F.col("toc").cast("double").alias("toc")))
+
+
+def rename_only_file(spark: SparkSession, folder: str, extension: str, name: str) -> None:
+    """Give the one part file that Spark wrote to a folder a name of its own, and delete the folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in store.listStatus(path(folder)) if f.getPath().getName().endswith(f".{extension}")]
+    store.rename(part, path(name))
+    store.delete(path(folder), True)
+
+
 @query(f"""WITH {METRICS} {_PICKS} SELECT len(list(seed)) AS seeds, round(sum(delta_r2),6) AS delta_sum,
  (SELECT seed FROM picks WHERE tag='best') AS best_seed, (SELECT seed FROM picks WHERE tag='worst') AS worst_seed,
  (SELECT seed FROM picks WHERE tag='median') AS median_seed FROM delta_s""")
