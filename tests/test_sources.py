@@ -27,6 +27,15 @@ def test_encodings_in_the_header(spark, tmp_path, encoding, header):
     assert df.columns == [header, "TOC"] and tuple(df.first()) == ("430", "1.5")
 
 
+def test_a_file_with_both_encodings(spark, tmp_path):
+    rows = [("São 1", "utf-8"), ("São 2", "cp1252"), ("plain", "utf-8"), ("5 € – x", "cp1252"), ("Ω 日本", "utf-8"), ("", "utf-8")]
+    p = write(tmp_path / "mixed.csv", "Ort (°),TOC\n".encode("cp1252") + b"".join(f"{v},{i}\n".encode(e) for i, (v, e) in enumerate(rows)))
+    df = R.read_csv_any_encoding(spark, p)
+    assert df.columns == ["Ort (°)", "TOC"]
+    assert [r[0] or "" for r in df.orderBy(df.TOC.cast("int")).collect()] == [v for v, _ in rows]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+
+
 def test_encoding_in_the_values(spark, tmp_path):
     p = write(tmp_path / "a.csv", "well,TOC\nSão 1,1\nB,2\n".encode("latin-1"))
     assert [r[0] for r in R.read_csv_any_encoding(spark, p).collect()] == ["São 1", "B"]
