@@ -6,9 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import zstandard
 import public_tokenizers
 import pytest
+import zstandard
 from brute import Trie, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -524,6 +524,53 @@ def test_a_mix_meets_its_quotas(spark, budget):
     assert out.columns == df.columns and out.count() == len(got)
 
 
+def plain_mix(rows, budget, entropy, repeats):
+    """The exponent found on a grid, tokens by row, and the weights at an exponent."""
+    tokens, totals = {}, Counter()
+    for i, (_, text, _, source) in enumerate(rows):
+        tokens[i] = 1 + (sum(c in " \t\r\n" for c in text) + 1 if text else 0)
+        totals[source] += tokens[i]
+
+    def plan(a):
+        powers = {s: (n / sum(totals.values())) ** a for s, n in totals.items()}
+        weights = {s: p / sum(powers.values()) for s, p in powers.items()}
+        whole = budget or math.ceil(max(totals[s] / w for s, w in weights.items()) - 1e-6)
+        flat = -sum(w * math.log(w) for w in weights.values()) / math.log(len(weights))
+        return weights, whole, flat, max(w * whole / totals[s] for s, w in weights.items())
+
+    grid = [i / 4000 for i in range(4001)]
+    flat = max((a for a in grid if plan(a)[2] >= entropy), default=0.0)
+    if plan(flat)[3] > repeats:
+        flat = min((a for a in grid if a >= flat and plan(a)[3] <= repeats), default=1.0)
+    return flat, tokens, plan
+
+
+@pytest.mark.parametrize("budget, repeats", [(None, 4.0), (2500, 4.0), (9000, 1.5), (None, 1000.0)])
+def test_a_mix_is_that_of_a_plain_walk(spark, budget, repeats):
+    rows = [(i, "w " * rng.randint(0, 20) + "x", None, rng.choice(["a"] * 9 + ["b", "c"])) for i in range(300)]
+    df = docs(spark, rows)
+    drawn, found = mixing.mix(df, budget=budget, repeats=repeats, block_tokens=300)
+    got = Counter((r.doc_id, r["pass"]) for r in drawn.select("row.doc_id", "pass").collect())
+    exponent, tokens, plan = plain_mix(rows, budget, 0.9, repeats)
+    assert found.exponent == pytest.approx(exponent, abs=1 / 2000)
+    weights, whole, _, _ = plan(found.exponent)
+    key = F.xxhash64("doc_id", "text")
+    hashes = [r.h for r in df.orderBy("doc_id").select(F.array(*[F.xxhash64(F.lit(7), F.lit(p), key) for p in range(8)]).alias("h")).collect()]
+    want = Counter()
+    for source in weights:
+        mine = [i for i, r in enumerate(rows) if r[3] == source]
+        total = sum(tokens[i] for i in mine)
+        blocks, quota, taken, p = max(1, -(-total // 300)), round(weights[source] * whole), 0, 0
+        while taken < quota:
+            for i in sorted(mine, key=lambda i: (((hashes[i][p] % 2**64) >> 1) % blocks, hashes[i][p])):
+                if taken >= quota:
+                    break
+                want[rows[i][0], p] += 1
+                taken += tokens[i]
+            p += 1
+    assert got == want
+
+
 @pytest.mark.parametrize("budget", [None, 3000])
 def test_any_number_of_sources(spark, monkeypatch, budget):
     rows = [(i, "w " * rng.randint(0, 20), None, rng.choice(["a"] * 20 + [f"host{i}" for i in range(30)] + [None])) for i in range(500)]
