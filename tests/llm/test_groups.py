@@ -67,6 +67,19 @@ def test_one_document_of_each_group_stays(spark, copies):
     assert not [t for _, t in repeated if words(t)]
 
 
+def test_very_long_texts_are_compared_whole(spark):
+    long = " ".join(f"w{i % 70_001}x{i % 11}" for i in range(200_000))
+    near, far = long + " a few words more", " ".join(reversed(long.split(" ")))
+    df = spark.createDataFrame([(1, long), (2, near), (3, far), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert [got[i][1] for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[1][0] == len(set(zip(*[long.split(" ")[k:] for k in range(5)])))
+    passage = " ".join(f"item{i}" for i in range(40))
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"{long} {passage}"), (2, f"{passage} {long} {passage}")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in winnow.contamination(df, items).collect()}
+    assert got == {1: (200_040, 40, 1, False), 2: (200_080, 80, 1, False)}
+
+
 def test_no_documents_no_groups(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).collect() == [] and minhash.deduplicate(empty).collect() == []

@@ -37,3 +37,27 @@ def test_stages_take_effect(spark, tmp_path):
     starts = [(r.start, r.n_tokens) for r in tables[5].orderBy("start").collect()]
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
     assert corpus_pipeline.run(spark, SF).count() == len(rows[4])
+
+
+def test_stages_take_odd_and_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = docs.limit(0).union(
+        spark.createDataFrame([(i, t, None, None, 0) for i, t in [(None, None), (1, None), (1, None), (2, ""), (3, "word"), (3, "word"), (None, "x y")]], docs.schema)
+    )
+    for table in (docs.limit(0), odd):
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, str(tmp_path))
+            rows = out.collect()
+            assert i == 4 or out.columns == docs.columns, name
+            if table is not odd:
+                assert not rows
+            elif i == 1:  # rows of one id and text are one, but for those without words
+                assert sorted(str(r.text) for r in rows) == ["", "None", "None", "None", "word", "x y"]
+            elif i >= 2:
+                assert len(rows) >= 7, name
+    (tmp_path / "sf").mkdir()
+    items.limit(0).write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/sf").count() == 0

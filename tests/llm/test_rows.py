@@ -280,6 +280,26 @@ def test_scores_are_those_of_the_trie(spark):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [33, 64, 500])
+def test_symbols_of_a_long_text_come_in_runs(monkeypatch, n):
+    data = np.random.default_rng(n).integers(0, 128, n).astype(np.uint8)
+    whole, begin = ppm.grams(data, np.array([0, n]))
+    monkeypatch.setattr(ppm, "SLICE", 16)
+    runs = list(ppm.gram_runs(data, np.array([0, n])))
+    assert len(runs) == -(-(n + 1) // 16) and (np.concatenate([k for k, _ in runs]) == whole).all()
+    assert sum(b[-1] for _, b in runs) == begin[-1] == n + 1
+
+
+def test_lists_of_keys_round_trip():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    assert (ppm._keys_of(ppm._list_of(keys)) == keys).all()
+    assert len(ppm._keys_of(ppm._list_of(keys[:0]))) == 0
+    tallies = ppm._Tallies()
+    for part in np.array_split(np.random.default_rng(2).permutation(np.repeat(keys[:300], 7)), 9):
+        tallies.add(*ppm._tally(part))
+    assert (tallies.all()[0] == keys[:300]).all() and (tallies.all()[1] == 7).all()
+
+
 def test_a_symbol_has_probability_one_over_all(spark):
     trie = Trie(["abcabd", "abx"], 3)
     for text in ("", "ab", "abc", "zz"):
