@@ -14,22 +14,47 @@ from holdfast.session import land, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with a clear lead; learns from the table's own labels.
+
+    Null texts, texts without a letter and close calls go; ties go to the first name and are
+    close calls. Repeated rows stay or go together. Without labels, or rows, nothing stays.
+    """
     return langid.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of each group of near copies; rows equal in doc_id and text are one.
+
+    Null texts and texts without words are near nothing and all stay; null ids come last. An
+    empty table stays empty.
+    """
     return minhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in windows of ``benchmark``.
+
+    Null and empty texts have no words and stay, repeated rows stay or go together. An empty
+    benchmark takes nothing away.
+    """
     return winnow.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources more often, towards tempered weights.
+
+    Null sources are one source; null texts count as one token. Repeated rows are drawn
+    together. An empty table stays empty.
+    """
     return mixing.resample(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows in doc_id order, and what they read back: a row per document.
+
+    A null or empty text is its end id alone; null ids come first; rows of one id go by text.
+    An empty table writes no file and gives no rows.
+    """
     return tokens.encode(docs)
 
 
