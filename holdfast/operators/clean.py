@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from holdfast.functions.columns import is_finite, nan_to_null, parse_number
 from holdfast.operators.ranks import numeric_key, select_ranks
+from holdfast.session import land
 
 MIN_FEATURES = 2
 MIN_ROWS = 25
@@ -150,3 +151,14 @@ def cleaning_report(before: DataFrame, features: Sequence[str], target: str) ->
         F.count_if(complete).alias("rows_after"),
         F.count_if(~complete).alias("rows_dropped"),
     )
+
+
+def clean_with_report(before: DataFrame, features: Sequence[str], target: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with every value present, landed at ``path``, and the report on them, counted by the same scan."""
+    complete = reduce(Column.__and__, [quoted(c).isNotNull() for c in [*features, target]])
+    seen = Observation("cleaning")
+    counts = [F.count(F.lit(1)).alias("rows_before"), F.count_if(complete).alias("rows_after")]
+    table = land(before.observe(seen, *counts).where(complete), path)
+    n, kept = seen.get["rows_before"], seen.get["rows_after"]
+    report = before.sparkSession.createDataFrame([(n, kept, n - kept)], "rows_before bigint, rows_after bigint, rows_dropped bigint")
+    return table, report

@@ -275,7 +275,8 @@ def row_cap(spark, sf):
 @query(f"""WITH {DIRTY} SELECT count(*) AS rows_before, count(CASE WHEN toc IS NOT NULL AND s1 IS NOT NULL THEN 1 END) AS rows_after,
  count(*)-count(CASE WHEN toc IS NOT NULL AND s1 IS NOT NULL THEN 1 END) AS rows_dropped FROM dirty""")
 def clean_report(spark, sf):
-    return C.cleaning_report(dirty(spark, sf), ["s1"], "toc")
+    """Counted while the cleaned table is landed."""
+    return C.clean_with_report(dirty(spark, sf).select("sample_id", "toc", "s1"), ["s1"], "toc", scratch_path(spark, "cleaned"))[1]
 
 
 @query(f"""WITH {DIRTY} SELECT sample_id, regexp_replace(lower(trim(toc_text)), '[^a-z0-9]+', '_', 'g') AS normalised FROM dirty""")

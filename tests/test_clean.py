@@ -68,3 +68,10 @@ def test_encode_missing(spark):
     df, names = D.encode_missing(spark.createDataFrame([(None,), (NAN,), (2.0,)], "a double"), ["a"])
     assert names == ["a_filled", "a_is_missing"]
     assert [tuple(r) for r in df.select(*names).collect()] == [(-1e9, 1.0), (-1e9, 1.0), (2.0, 0.0)]
+
+
+def test_the_report_comes_with_the_cleaned_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, 1.0, None), (4, 5.0, 6.0)], "sample_id long, `a.b` double, t double")
+    table, report = C.clean_with_report(df, ["a.b"], "t", f"{tmp_path}/cleaned")
+    assert sorted(r.sample_id for r in table.collect()) == [1, 4]
+    assert tuple(report.first()) == (4, 2, 2) == tuple(C.cleaning_report(df, ["a.b"], "t").first())
