@@ -199,3 +199,11 @@ def test_components_that_take_no_part(spark):
     got = {r.vec_id: r.v for r in df.select("vec_id", topk.quantised().alias("v")).collect()}
     assert got == {0: [128, 256], 1: None, 2: None, 3: None, 4: None, 5: [-1, 255]}
     assert topk.top_k(df.select("vec_id", topk.quantised().alias("vector")).limit(0), df.select("vec_id", topk.quantised().alias("vector"))).collect() == []
+
+
+def test_other_columns_of_a_search_do_not_matter(spark):
+    rows = [(i, [i, 3 - i, i % 2]) for i in range(7)]
+    plain = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    clashing = plain.selectExpr("vec_id", "vector", "1 AS score", "'x' AS part", "2 AS query_id", "3 AS rank", "4 AS size", "5 AS block")
+    want, got = (sorted(map(tuple, topk.top_k(d, d.filter("vec_id < 3"), 2).collect())) for d in (plain, clashing))
+    assert got == want and len(want) == 6
