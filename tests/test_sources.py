@@ -76,6 +76,25 @@ def test_find_dataset(spark, tmp_path):
         R.find_dataset(spark, str(tmp_path), "*.tsv")
 
 
+def test_find_dataset_written_in_parts(spark, tmp_path):
+    write(tmp_path / "merged_all.csv", b"x" * 2000)
+    spark.range(1000).repartition(4).write.option("header", True).csv(str(tmp_path / "final_clean.csv"))
+    spark.range(10).write.option("header", True).csv(str(tmp_path / "clean_final.csv"))
+    found = R.find_dataset(spark, str(tmp_path))  # each part is smaller than the one file, all are larger
+    assert found.endswith("final_clean.csv") and R.read_csv(spark, found).count() == 1000
+
+
+def test_discovery_has_no_table_in_one_task(spark, tmp_path, monkeypatch):
+    from holdfast.plans import catalog
+
+    table = spark.range(0, 900, numPartitions=6).select(F.col("id").alias("sample_id"), (F.col("id") / 7).alias("toc"))
+    monkeypatch.setattr(catalog, "samples", lambda *_: table)
+    monkeypatch.setattr(catalog, "scratch_path", lambda *_: str(tmp_path / "found"))
+    assert catalog.dataset_discovery(spark, "").count() == 600
+    for name in ("notes", "old_dataset_toc", "dataset_toc"):
+        assert len(list((tmp_path / "found" / f"{name}.csv").glob("part-*.csv"))) == 6
+
+
 def test_read_table_formats(spark, tmp_path):
     df = spark.range(3)
     df.write.orc(str(tmp_path / "a.orc"))
