@@ -2,7 +2,9 @@
 
 Pass one scatters the records into memory-sized buckets by a seeded hash. Pass
 two permutes each bucket on its own (Spark's ``shuffle`` is a Fisher-Yates) and
-writes it. Buckets in order, each in its permuted order, are one uniform
+writes it. What is permuted are the places of the sorted records: the records
+themselves stream through Spark's sort, and no bucket is ever one value in memory.
+Buckets in order, each in its permuted order, are one uniform
 permutation of the table; shard s holds its positions from ceil(s * n / shards)
 on, so shards' row counts differ by one at most and nothing is sorted by shard.
 
@@ -77,12 +79,16 @@ def shuffle_to_shards(
     keyed = _numbered(keyed, copies_path, seed).withColumn("bucket", F.pmod("record.h", F.lit(buckets)))
     counts = land(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), path)
     rows = counts.agg(F.sum("n")).first()[0] or 0
-    # rows travel as they are; a bucket becomes an array only where it is complete
-    packed = keyed.repartition(buckets, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list("record")).alias("records"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("record"))
+    ranked = keyed.repartition(buckets, "bucket").withColumn("rank", rank)
     # the generator of ``shuffle`` starts anew in each partition: with a fixed number of
-    # partitions, and buckets and records in order, a bucket is always permuted alike
-    permuted = packed.sortWithinPartitions("bucket").select("bucket", F.shuffle("records", seed).alias("records"))
-    permuted = permuted.join(_before(counts), "bucket").select("before", F.posexplode("records").alias("place", "record"))
+    # partitions, and buckets in order, a bucket is always permuted alike
+    drawn = counts.join(_before(counts), "bucket").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    drawn = drawn.withColumn("drawn", F.shuffle(F.sequence(F.lit(1).cast("long"), "n"), seed))
+    places = F.sort_array(F.transform("drawn", lambda rank, place: F.struct(rank.alias("rank"), place.alias("place"))))
+    drawn = drawn.select("bucket", "before", places["place"].alias("places"))  # by rank
+    # by merging, since both sides lie by bucket already
+    permuted = ranked.join(drawn.hint("merge"), "bucket").select("before", F.element_at("places", F.col("rank")).alias("place"), "record")
     position = F.col("before") + F.col("place")
     shard = F.expr(f"CAST((_position * {shards}L) div {max(rows, 1)}L AS INT)")
     first = F.expr(f"(shard * {max(rows, 1)}L + {shards - 1}L) div {shards}L")

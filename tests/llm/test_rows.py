@@ -488,6 +488,18 @@ def test_a_row_repeated_very_often_spreads_over_buckets(spark, monkeypatch):
     assert Counter(x[3] for x in one).most_common()[0][1] - Counter(x[3] for x in one).most_common()[-1][1] <= 1
 
 
+def test_no_bucket_is_one_value(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a bucket's records in one array")
+
+    df = docs(spark, [(i, f"text {i} " * 20, None, None) for i in range(300)] + [(1, "text 1 " * 20, None, None)] * 9)
+    for name in ("collect_list", "array_agg"):
+        monkeypatch.setattr(shuffle.F, name, refused)
+    got = shuffle.shuffle_to_shards(df, scratch_path(spark, "s"), bucket_bytes=1 << 12).collect()
+    check_shards(got, 24)
+    assert len(got) == 309
+
+
 def test_one_very_long_text_in_shards(spark):
     df = docs(spark, [(0, "long " * 400_000, None, None), (1, "short", None, None), (2, None, None, None)])
     got = shuffle.shuffle_to_shards(df, scratch_path(spark, "s"), shards=2, bucket_bytes=1 << 10).collect()
