@@ -384,7 +384,8 @@ def align(docs: DataFrame, *, path_a: str | None = None, path_b: str | None = No
     found = land(text.mapInArrow(_scan(path_a, path_b, arrow_kind), schema), scratch_path(spark, "postings"))
     postings = found.filter("a IS NOT NULL").select("chunk", *[c.split()[0] for c in _POSTING])
     pairs = land(pair_counts(postings), scratch_path(spark, "counts"))
-    valued = postings.drop("n_links").join(pairs.drop("n_links"), ["a", "b"])
+    # a merge at any size: what a broadcast saves on a small table is no measure of a large one
+    valued = postings.drop("n_links").join(pairs.drop("n_links").hint("merge"), ["a", "b"])
     valued = valued.select("chunk", "n_docs", "docs", "planes", "count", "best")
     names = ["chunk", "doc_id", *[c.split()[0] for c in _DOC]]
     rows = found.filter("a IS NULL").select(names).toDF(*names)  # columns of its own, not the postings'
