@@ -84,3 +84,11 @@ def test_fan_out_uneven_seeds(spark):
 def test_bernoulli_share(spark):
     rows = P.bernoulli_split(ids(spark, 5000), [0], 0.2)
     assert abs(rows.where("split = 'test'").count() / 5000 - 0.2) < 0.02
+
+
+def test_parts_as_given_values(sample_table):
+    cut = P.find_cuts(sample_table, [3], 0.2, 0.1)[None, 3]
+    valued = P.part_of(cut, 3, values=(F.when(F.col("sample_id") % 2 == 0, 1).otherwise(2), 3, 4))
+    rows = sample_table.select("sample_id", P.part_of(cut, 3).alias("part"), valued.alias("value")).collect()
+    want = {"train": lambda i: 1 + i % 2, "val": lambda i: 3, "test": lambda i: 4}
+    assert {r.part for r in rows} == set(want) and all(r.value == want[r.part](r.sample_id) for r in rows)
